@@ -1,0 +1,28 @@
+"""Turns the fixed patterns into Java patterns and amount columns."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tallyscan.functions.amounts import clean_amount
+
+# Word boundaries spelled out: \b is Unicode-aware on some JDKs and ASCII-only on others.
+_NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
+_NO_WORD_AFTER = r"(?![\p{L}\p{N}_])"
+
+
+def java_regex(pattern: str, flags: str = "") -> str:
+    """(?d): a line ends at LF only, whatever the platform calls a line end."""
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + _NO_WORD_AFTER
+    if pattern.startswith(r"\b"):
+        pattern = _NO_WORD_BEFORE + pattern[2:]
+    return f"(?d{flags})" + pattern
+
+
+def extract_amount(text: Column, patterns: Sequence[str], flags: str = "") -> list[Column]:
+    """One nullable amount per pattern; coalesce() of them stops at the first hit."""
+    return [clean_amount(F.regexp_extract(text, java_regex(p, flags), 1)) for p in patterns]
