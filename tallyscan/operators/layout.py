@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscan import fixed_values as fv
-from tallyscan.functions import clean_amount, clean_date, currency_code, is_blank, is_upper, ordered_text, strip
+from tallyscan.functions import clean_amount, clean_date, currency_code, is_upper, strip
 from tallyscan.functions.amounts import MONEY
 from tallyscan.operators.text_assembly import CHUNK_ROWS, line_key
 
@@ -36,7 +36,7 @@ def _label_field(label: Column) -> Column:
 
 def fields_from_tables(table_rows: DataFrame) -> DataFrame:
     """Label in the first cell, value in the last; the first acceptable row per field wins."""
-    cell = lambda i: strip(F.coalesce(F.element_at("cells", i), F.lit("")))
+    cell = lambda i: strip(F.coalesce(F.try_element_at("cells", F.lit(i)), F.lit("")))
     pairs = (
         table_rows.where(F.size("cells") >= 2)
         .select("doc_id", "table_idx", "row_idx", F.lower(cell(1)).alias("label"), cell(-1).alias("value"))
@@ -155,15 +155,10 @@ def merge_layout(tables: DataFrame, lines: DataFrame) -> DataFrame:
 
 def layout_fields(docs: DataFrame, words: DataFrame | None, table_rows: DataFrame | None) -> DataFrame:
     """Everything the layout of the first page gives, one row per document with any of it."""
-    spark = docs.sparkSession
-    empty = ", ".join(f"{f} {_TYPES.get(f, 'string')}" for f in LAYOUT_FIELDS)
-    tables = lines = spark.createDataFrame([], f"doc_id bigint, {empty}")
-    if table_rows is not None:
-        tables = fields_from_tables(layout_scope(table_rows, docs))
-    if words is not None:
-        lines = fields_from_lines(layout_scope(words, docs))
-    return merge_layout(tables, lines)
-
-
-def has_layout_value() -> Column:
-    return ~is_blank(F.concat_ws("", *LAYOUT_FIELDS))
+    tables = None if table_rows is None else fields_from_tables(layout_scope(table_rows, docs))
+    lines = None if words is None else fields_from_lines(layout_scope(words, docs))
+    if tables is not None and lines is not None:
+        return merge_layout(tables, lines)
+    one = tables if tables is not None else lines
+    missing = {f: F.lit(None).cast(_TYPES.get(f, "string")) for f in LAYOUT_FIELDS if f not in one.columns}
+    return one.withColumns(missing).select("doc_id", *LAYOUT_FIELDS)

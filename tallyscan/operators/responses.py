@@ -94,7 +94,7 @@ def _outer_object(text: Column) -> Column:
     whole = F.substring(text, first, last - first + 1)
     rest = F.regexp_replace(strip(F.substr(text, first)), r",\s*$", "")
     has_last = text.contains("}") & (last > first)
-    return F.when(first == 0, text).when(has_last, whole).otherwise(F.concat(F.rtrim(rest), F.lit("\n}")))
+    return F.when(first == 0, text).when(has_last, whole).otherwise(F.concat(F.rtrim(rest, F.lit(fv.WHITESPACE)), F.lit("\n}")))
 
 
 def _common_slips(text: Column) -> Column:
