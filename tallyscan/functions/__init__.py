@@ -1,12 +1,11 @@
 """Column functions: built-in Spark expressions only, no Python per row."""
 
-from tallyscan.functions.amounts import amount_text, clean_amount
+from tallyscan.functions.amounts import clean_amount
 from tallyscan.functions.currency import currency_code
 from tallyscan.functions.dates import clean_date
-from tallyscan.functions.patterns import extract_amount, java_regex
-from tallyscan.functions.text import is_blank, is_upper, ordered_text, plain_spaces, strip, title_case
+from tallyscan.functions.text import computed, is_blank, is_upper, let, ordered_text, plain_spaces, strip, title_case
 
 __all__ = [
-    "amount_text", "clean_amount", "clean_date", "currency_code", "extract_amount", "is_blank",
-    "is_upper", "java_regex", "ordered_text", "plain_spaces", "strip", "title_case",
+    "clean_amount", "clean_date", "computed", "currency_code", "is_blank", "is_upper", "let",
+    "ordered_text", "plain_spaces", "strip", "title_case",
 ]

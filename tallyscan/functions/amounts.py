@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyscan.fixed_values import WIDE_WHITESPACE
+from tallyscan.functions.sqltext import LONG_TAIL, MONEY, NOISE
 
-MONEY = "decimal(28,2)"
-_NOISE = rf"[$€£¥₹,_\s{WIDE_WHITESPACE}]"
-# More than ten decimals: the tail only matters as "more than a half", so one digit stands for it.
-_LONG_TAIL = r"^([+-]?\d*\.\d{9})\d*[1-9]\d*$"
+__all__ = ["MONEY", "clean_amount"]
 
 
 def clean_amount(col: Column) -> Column:
@@ -20,10 +17,5 @@ def clean_amount(col: Column) -> Column:
     more than 26 integer digits. Each step reads its input once, so a costly
     ``col`` (a pattern over a whole text) is never evaluated twice.
     """
-    digits = F.regexp_replace(F.regexp_replace(col, _NOISE, ""), _LONG_TAIL, "$11")
+    digits = F.regexp_replace(F.regexp_replace(col, NOISE, ""), LONG_TAIL, "$11")
     return F.bround(digits.try_cast("decimal(38,10)"), 2).try_cast(MONEY)
-
-
-def amount_text(col: Column) -> Column:
-    """Money as text with two places."""
-    return col.cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,20 @@ def title_case(col: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed(df: DataFrame, keep: Sequence[str], *columns: Column) -> DataFrame:
+    """``keep`` and ``columns`` as a one-row generator.
+
+    A later filter on ``columns`` stays above it. In a plain projection the optimizer
+    would push the filter below and evaluate the columns twice, patterns included.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def ordered_text(
     df: DataFrame,
     keys: Sequence[str],

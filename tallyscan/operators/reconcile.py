@@ -6,21 +6,18 @@ tax flattened to ``tax_amount``, ``tax_type``, ``tax_inferred``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallyscan import fixed_values as fv
-from tallyscan.functions import is_blank, strip
-from tallyscan.functions.amounts import MONEY
+from tallyscan.functions.sqltext import MONEY, strip
 
+_ZERO = f"cast(0 as {MONEY})"
+_DISCOUNT = f"coalesce(discount, {_ZERO})"
+_TAX = f"coalesce(tax_amount, {_ZERO})"
 
-def _or_zero(col: Column) -> Column:
-    return F.coalesce(col, F.lit(0).cast(MONEY))
 
-
-def _or_zero_text(*cols: Column, value: Column | None = None) -> Column:
-    """Amount as text; a plain 0 when all of its parts are missing."""
-    return F.when(F.coalesce(*cols).isNotNull(), (value if value is not None else cols[0]).cast("string")).otherwise("0")
+def _swap(columns: list[str], changed: dict[str, str]) -> list[str]:
+    return [f"{changed[c]} as {c}" if c in changed else f"`{c}`" for c in columns]
 
 
 def reconcile_amounts(fields: DataFrame) -> DataFrame:
@@ -31,76 +28,56 @@ def reconcile_amounts(fields: DataFrame) -> DataFrame:
     the discount and accepts it. Both are kept as they are. When the amounts do not
     meet, a missing tax is inferred, else a missing discount, else the row is marked.
     """
-    sub, dis, tax, tot = (F.col(c) for c in ("subtotal", "discount", "tax_amount", "total"))
     out = [c for c in fields.columns if c not in ("reconciliation_status", "reconciliation_error")]
-    expected = sub - _or_zero(dis) + _or_zero(tax)
-    measured = fields.withColumns({"_expected": expected, "_difference": F.abs(expected - tot)})
-    tax_gap = tot - sub + _or_zero(dis)
-    discount_gap = sub + _or_zero(tax) - tot
-    branch = (
-        F.when(sub.isNull() | tot.isNull(), "skipped")
-        .when(F.col("_difference") <= F.lit(fv.RECONCILE_TOLERANCE).cast(MONEY), "ok")
-        .when(tax.isNull() & (tax_gap >= 0), "tax_inferred")
-        .when(dis.isNull() & (discount_gap > 0), "discount_inferred")
-        .otherwise("inconsistent")
-    )
-    is_ = lambda name: F.col("_branch") == name
-    error = F.concat(
-        F.lit("Expected total: "), F.col("_expected").cast("string"),
-        F.lit(", Found: "), tot.cast("string"),
-        F.lit(", Difference: "), F.col("_difference").cast("string"),
-    )
+    measured = fields.selectExpr("*", f"subtotal - {_DISCOUNT} + {_TAX} as _expected")
+    tax_gap = f"(total - subtotal + {_DISCOUNT})"
+    discount_gap = f"(subtotal + {_TAX} - total)"
+    branch = f"""case
+        when subtotal is null or total is null then 'skipped'
+        when abs(_expected - total) <= {fv.RECONCILE_TOLERANCE} then 'ok'
+        when tax_amount is null and {tax_gap} >= 0 then 'tax'
+        when discount is null and {discount_gap} > 0 then 'discount'
+        else 'inconsistent' end as _branch"""
     changed = {
-        "tax_amount": F.when(is_("tax_inferred"), tax_gap.cast(MONEY)).otherwise(tax),
-        "tax_type": F.when(is_("tax_inferred"), "sales_tax").otherwise(F.col("tax_type")),
-        "tax_inferred": F.when(is_("tax_inferred"), True).otherwise(F.col("tax_inferred")),
-        "discount": F.when(is_("discount_inferred"), (-discount_gap).cast(MONEY)).otherwise(dis),
+        "tax_amount": f"case when _branch = 'tax' then cast({tax_gap} as {MONEY}) else tax_amount end",
+        "tax_type": "case when _branch = 'tax' then 'sales_tax' else tax_type end",
+        "tax_inferred": "case when _branch = 'tax' then true else tax_inferred end",
+        "discount": f"case when _branch = 'discount' then cast(-{discount_gap} as {MONEY}) else discount end",
     }
-    return measured.withColumn("_branch", branch).select(
-        *[changed[c].alias(c) if c in changed else F.col(c) for c in out],
-        F.when(is_("inconsistent"), "inconsistent").alias("reconciliation_status"),
-        F.when(is_("inconsistent"), error).alias("reconciliation_error"),
+    error = "concat('Expected total: ', _expected, ', Found: ', total, ', Difference: ', abs(_expected - total))"
+    return measured.selectExpr("*", branch).selectExpr(
+        *_swap(out, changed),
+        "case when _branch = 'inconsistent' then 'inconsistent' end as reconciliation_status",
+        f"case when _branch = 'inconsistent' then {error} end as reconciliation_error",
     )
 
 
 def field_exclusivity(fields: DataFrame) -> DataFrame:
     """Drops a discount above the subtotal and a negative tax."""
-    keep_tax = ~F.coalesce(F.col("tax_amount") < 0, F.lit(False))
-    keep_discount = ~F.coalesce(F.abs(F.col("discount")) > F.col("subtotal"), F.lit(False))
-    return fields.select(*[
-        F.when(keep_discount, F.col(c)).alias(c) if c == "discount"
-        else F.when(keep_tax, F.col(c)).alias(c) if c in ("tax_amount", "tax_type", "tax_inferred")
-        else F.col(c)
-        for c in fields.columns
-    ])
+    changed = {"discount": "case when abs(discount) > subtotal then null else discount end"}
+    for c in ("tax_amount", "tax_type", "tax_inferred"):
+        changed[c] = f"case when tax_amount < 0 then null else {c} end"
+    return fields.selectExpr(*_swap(fields.columns, changed))
 
 
 def validate_accounting(fields: DataFrame) -> DataFrame:
     """Adds ``validation_error`` (the first failed check) and ``is_valid``."""
-    sub, dis, tax, tot = (F.col(c) for c in ("subtotal", "discount", "tax_amount", "total"))
-    expected = _or_zero(sub) + _or_zero(tax) + _or_zero(dis)
-    measured = fields.withColumns({"_expected": expected, "_difference": F.abs(expected - tot)})
-    number = F.col("invoice_number")
-    math = F.concat(
-        F.lit("Math validation failed: total ("), tot.cast("string"),
-        F.lit(") ≠ subtotal ("), _or_zero_text(sub),
-        F.lit(") + tax ("), _or_zero_text(tax),
-        F.lit(") + discount ("), _or_zero_text(dis),
-        F.lit("). Expected: "), _or_zero_text(sub, tax, dis, value=F.col("_expected")),
-        F.lit(", Difference: "), F.col("_difference").cast("string"),
-    )
-    error = (
-        F.when(is_blank(number), fv.MISSING_NUMBER)
-        .when(tot.isNull(), fv.MISSING_TOTAL)
-        .when(F.col("invoice_date").isNull(), fv.MISSING_DATE)
-        .when(
-            strip(F.upper(number)).isin(fv.HEADER_WORDS),
-            F.concat(F.lit("Invoice number '"), number, F.lit("' is a table header, not a valid invoice number")),
-        )
-        .when(F.col("_difference") > F.lit(fv.VALIDATE_TOLERANCE).cast(MONEY), math)
-    )
-    return (
-        measured.withColumn("validation_error", error)
-        .drop("_expected", "_difference")
-        .withColumn("is_valid", F.col("validation_error").isNull())
-    )
+    measured = fields.selectExpr("*", f"coalesce(subtotal, {_ZERO}) + {_TAX} + {_DISCOUNT} as _expected")
+    text = "coalesce(cast({0} as string), '0')".format
+    # a sum of nothing is written 0, any other with its two places
+    expected = "case when coalesce(subtotal, tax_amount, discount) is null then '0' else cast(_expected as string) end"
+    words = ", ".join(f"'{w}'" for w in fv.HEADER_WORDS)
+    number = strip("invoice_number")
+    error = f"""case
+        when coalesce({number}, '') = '' then '{fv.MISSING_NUMBER}'
+        when total is null then '{fv.MISSING_TOTAL}'
+        when invoice_date is null then '{fv.MISSING_DATE}'
+        when upper({number}) in ({words})
+          then concat("Invoice number '", invoice_number, "' is a table header, not a valid invoice number")
+        when abs(_expected - total) > {fv.VALIDATE_TOLERANCE}
+          then concat('Math validation failed: total (', total, ') ≠ subtotal (', {text("subtotal")},
+            ') + tax (', {text("tax_amount")}, ') + discount (', {text("discount")}, '). Expected: ', {expected},
+            ', Difference: ', abs(_expected - total))
+        end as validation_error"""
+    checked = measured.selectExpr(*[f"`{c}`" for c in fields.columns], error)
+    return checked.selectExpr("*", "validation_error is null as is_valid")

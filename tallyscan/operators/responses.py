@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscan import fixed_values as fv
-from tallyscan.functions import strip
+from tallyscan.functions import computed, let, strip
 from tallyscan.operators.merge import PLAIN_FIELDS, WRAPPED_FIELDS, plain_value, wrap
 
 ANSWER_FIELDS = [*fv.FIELDS, "vat"]
@@ -41,7 +41,7 @@ def escalation_queue(
     if use_fallback:
         reason = reason.when(F.col("currency").isNull() | F.col("total").isNull(), "critical_missing")
         reason = reason.when(rate < min_rate, "low_rate")
-    return extracted.withColumn("escalation_reason", reason)
+    return computed(extracted, extracted.columns, reason.alias("escalation_reason"))
 
 
 def prior_fields() -> Column:
@@ -108,7 +108,7 @@ def _common_slips(text: Column) -> Column:
         (r',\s*""\s*([,}])', "$1"),
         (r",(\s*[}\]])", "$1"),
         (r":\s*'([^']*)'", ': "$1"'),
-        (r'"([^"]*)\n([^"]*)"', r'"$1\\\\n$2"'),
+        (r'"([^"]*)\n([^"]*)"', r'"$1\\n$2"'),
         (r"[\x00-\x1f\x7f-\x9f]", ""),
     ):
         text = F.regexp_replace(text, pattern, repl)
@@ -129,13 +129,12 @@ def repair_responses(model_responses: DataFrame) -> DataFrame:
     """Adds ``repaired``: the primary model's answer made parseable where the rules can.
 
     Answers of other providers only lose a code fence. The last step runs the first
-    again; it changes nothing in a text that parses already. Each step is its own
-    projection, since every one reads its input more than once.
+    again; it changes nothing in a text that parses already.
     """
     raw = strip(F.col("raw_response"))
-    staged = model_responses.withColumn("_text", raw)
+    text = raw
     for step in (_real_breaks, _without_fence, _outer_object, _common_slips, _even_quotes, _real_breaks):
-        staged = staged.withColumn("_text", step(F.col("_text")))
+        text = let(text, step)
     inner = F.get(F.split(raw, "```"), F.lit(1))
     unfenced = (
         F.when(~raw.startswith("```"), raw)
@@ -143,7 +142,7 @@ def repair_responses(model_responses: DataFrame) -> DataFrame:
         .otherwise(inner)
     )
     primary = F.col("provider_rank") == PRIMARY_RANK
-    return staged.withColumn("repaired", F.when(primary, F.col("_text")).otherwise(unfenced)).drop("_text")
+    return computed(model_responses, model_responses.columns, F.when(primary, text).otherwise(unfenced).alias("repaired"))
 
 
 def _amount_or_text(value: Column, negative: bool = False) -> Column:
@@ -168,12 +167,12 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
     schema = "array<struct<" + ",".join(f"{k}:string" for k in keys) + ">>"
     strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
     one = F.concat(F.lit("["), F.col("repaired"), F.lit("]"))
-    parsed = repaired.select(
-        "doc_id", "provider_rank", "repaired",
-        F.from_json(one, schema, strict).alias("_all"),
-        F.json_object_keys("repaired").alias("_keys"),
-    ).where((F.size("_all") == 1) & F.col("_keys").isNotNull() & F.col("_all")[0].isNotNull())
-    a = lambda k: F.col("_all")[0][k]
+    whole = let(F.from_json(one, schema, strict), lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+    parsed = computed(
+        repaired, ["doc_id", "provider_rank", "repaired"],
+        whole.alias("_answer"), F.json_object_keys("repaired").alias("_keys"),
+    ).where(F.col("_answer").isNotNull() & F.col("_keys").isNotNull())
+    a = lambda k: F.col("_answer")[k]
     primary = F.col("provider_rank") == PRIMARY_RANK
     tax = a("tax")
     tax_parts = F.from_json(F.when(tax.startswith("{"), tax), "amount string, type string")
@@ -205,7 +204,7 @@ def entities_to_fields(entities: DataFrame) -> DataFrame:
     def last(name: str) -> Column:
         mine = F.col("field") == name
         # the content goes in a struct: a null content still replaces an earlier one
-        return F.max_by(F.struct("content"), F.when(mine, F.col("entity_idx")))["content"]
+        return F.max_by(F.struct("content"), F.when(mine, F.struct("entity_idx", "content")))["content"]
 
     wanted = {c: ("tax" if c == "tax_amount" else c) for c in ANSWER_COLUMNS if c not in ("discount", "tax_type")}
     found = named.groupBy("doc_id").agg(*[last(f).alias(c) for c, f in wanted.items()])

@@ -1,6 +1,6 @@
 """Rule extraction over a table of texts.
 
-Every function takes the columns made by ``normalise_text`` and gives one Column.
+Every extractor is one expression over the columns made by ``normalise_text``.
 Cheap substring tests stand in front of the patterns: a document without the word
 "total" never starts a pattern for it. ``coalesce`` stops at the first pattern
 whose first match gives an acceptable value.
@@ -12,56 +12,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscan import fixed_values as fv
-from tallyscan.functions import clean_date, extract_amount, is_upper, java_regex, plain_spaces, strip, title_case
-from tallyscan.functions.amounts import MONEY
-from tallyscan.functions.currency import first_symbol
+from tallyscan.functions import is_upper, plain_spaces, strip, title_case
+from tallyscan.functions import sqltext as sql
+from tallyscan.functions.sqltext import MONEY, amounts, coalesce, has, lit, matches, when
 from tallyscan.operators.reconcile import field_exclusivity, reconcile_amounts
 from tallyscan.operators.text_assembly import normalise_text
 
 # a digit and a letter in any order, three characters at least; or four digits at least
 _ACCEPTED_NUMBER = r"^(?=.*\d)(?=.*[A-Z]).{3,}$|^\d{4,}$"
+_DATES = [f"_date{i}" for i in range(len(fv.DATE_KEYWORDS))]
 
 
-def _has(col: Column, *words: str) -> Column:
-    found = col.contains(words[0])
-    for word in words[1:]:
-        found = found | col.contains(word)
-    return found
+def invoice_number(lower: str = "text_lower") -> Column:
+    """Upper-cased; a candidate without a digit (so every label word) is refused."""
+    accepted = [
+        f"get(regexp_extract_all(upper({sql.group(lower, p, 'i')}), {lit(_ACCEPTED_NUMBER)}, 0), 0)"
+        for p in fv.NUMBER_PATTERNS
+    ]
+    return F.expr(when(has(lower, "inv"), coalesce(accepted)))
 
 
-def invoice_number(lower: Column) -> Column:
-    """Upper-cased; a candidate without a digit (so every label word) is refused."""
+def date_contexts(text: str = "text", lower: str = "text_lower") -> list[Column]:
+    """Per keyword the 100 characters from its first position on, null when absent."""
+    cut = "substring({0}, locate({1}, {2}), {3})"
+    return [
+        F.expr(when(has(lower, k), cut.format(text, lit(k), lower, fv.DATE_CONTEXT_CHARS))).alias(name)
+        for name, k in zip(_DATES, fv.DATE_KEYWORDS)
+    ]
 
-    def accepted(pattern: str) -> Column:
-        candidate = F.upper(F.regexp_extract(lower, java_regex(pattern, "i"), 1))
-        return F.get(F.regexp_extract_all(candidate, F.lit(_ACCEPTED_NUMBER), F.lit(0)), F.lit(0))
 
-    return F.when(lower.contains("inv"), F.coalesce(*[accepted(p) for p in fv.NUMBER_PATTERNS]))
+def date_from_contexts() -> Column:
+    return F.expr(coalesce([sql.day(c) for c in _DATES]))
 
 
-def date_contexts(text: Column, lower: Column) -> list[Column]:
-    """Per keyword the 100 characters from its first position on, null when absent."""
-    contexts = []
-    for keyword in fv.DATE_KEYWORDS:
-        at = F.locate(keyword, lower)
-        contexts.append(F.when(lower.contains(keyword), F.substring(text, at, F.lit(fv.DATE_CONTEXT_CHARS))))
-    return contexts
+def header(text: str = "text") -> str:
+    return f"substring({text}, 1, {fv.HEADER_CHARS})"
 
 
-def vendor_labelled_raw(header: Column) -> Column:
+def vendor_labelled_raw(text: str = "text") -> Column:
     """Name behind a label, white space collapsed, cut before a trailing field word."""
-    name = strip(F.regexp_extract(plain_spaces(header), java_regex(fv.VENDOR_PATTERN, "im"), 1))
-    return F.regexp_replace(F.regexp_replace(name, r"\s+", " "), java_regex(fv.VENDOR_TAIL, "i"), "")
+    name = sql.strip(sql.group(sql.plain_spaces(header(text)), fv.VENDOR_PATTERN, "im"))
+    return F.expr(sql.replace(sql.replace(name, r"\s+", " "), sql.java_regex(fv.VENDOR_TAIL, "i"), ""))
 
 
 def vendor_from_raw(raw: Column) -> Column:
     return F.when(F.length(raw).between(2, 100), title_case(raw))
 
 
-def vendor_fallback(header: Column) -> Column:
+def vendor_fallback(head: Column) -> Column:
     """First company-like line among header lines 2 to 10."""
-    skip = java_regex("|".join(fv.VENDOR_SKIP), "i")
-    lines = F.transform(F.slice(F.split(header, "\n"), 2, fv.HEADER_LINES - 1), strip)
+    skip = sql.java_regex("|".join(fv.VENDOR_SKIP), "i")
+    lines = F.transform(F.slice(F.split(head, "\n"), 2, fv.HEADER_LINES - 1), strip)
 
     def company_like(line: Column) -> Column:
         first = F.substring(line, 1, 1)
@@ -75,43 +76,44 @@ def vendor_fallback(header: Column) -> Column:
     return F.get(F.filter(lines, company_like), F.lit(0))
 
 
-def _table_then_line(lower: Column, table: list[str], line: list[str], flags: str = "") -> Column:
-    in_table = F.when(lower.contains("|"), F.coalesce(*extract_amount(lower, table, "i")))
-    return F.coalesce(in_table, *extract_amount(lower, line, flags))
+def _table_then_line(lower: str, table: list[str], line: list[str]) -> str:
+    in_table = when(has(lower, "|"), coalesce(amounts(lower, table, "i")))
+    return coalesce([in_table, *amounts(lower, line)])
 
 
-def subtotal(lower: Column) -> Column:
-    return F.when(_has(lower, "total"), _table_then_line(lower, fv.SUBTOTAL_TABLE_PATTERNS, fv.SUBTOTAL_PATTERNS))
+def subtotal(lower: str = "text_lower") -> Column:
+    found = _table_then_line(lower, fv.SUBTOTAL_TABLE_PATTERNS, fv.SUBTOTAL_PATTERNS)
+    return F.expr(when(has(lower, "total"), found))
 
 
-def tax_amount(lower: Column) -> Column:
-    return F.when(_has(lower, "tax"), _table_then_line(lower, fv.TAX_TABLE_PATTERNS, fv.TAX_PATTERNS))
+def tax_amount(lower: str = "text_lower") -> Column:
+    return F.expr(when(has(lower, "tax"), _table_then_line(lower, fv.TAX_TABLE_PATTERNS, fv.TAX_PATTERNS)))
 
 
-def vat_amount(lower: Column) -> Column:
-    return F.when(_has(lower, "vat", "added"), F.coalesce(*extract_amount(lower, fv.VAT_PATTERNS)))
+def vat_amount(lower: str = "text_lower") -> Column:
+    return F.expr(when(has(lower, "vat", "added"), coalesce(amounts(lower, fv.VAT_PATTERNS))))
 
 
-def discount(lower: Column) -> Column:
+def discount(lower: str = "text_lower") -> Column:
     """Always stored as a negative amount."""
     found = _table_then_line(lower, fv.DISCOUNT_TABLE_PATTERNS, fv.DISCOUNT_PATTERNS)
-    return F.when(_has(lower, "discount"), -F.abs(found)).cast(MONEY)
+    return F.expr(when(has(lower, "discount"), f"cast(-abs({found}) as {MONEY})"))
 
 
-def total(lower: Column) -> Column:
-    return F.when(_has(lower, "total", "amount"), F.coalesce(*extract_amount(lower, fv.TOTAL_PATTERNS, "m")))
+def total(lower: str = "text_lower") -> Column:
+    return F.expr(when(has(lower, "total", "amount"), coalesce(amounts(lower, fv.TOTAL_PATTERNS, "m"))))
 
 
-def currency_explicit(lower: Column) -> Column:
+def currency_explicit(lower: str = "text_lower") -> Column:
     """A code as a whole word in list order, else a symbol in list order."""
     codes = [
-        F.when(lower.contains(c.lower()) & lower.rlike(java_regex(rf"\b{c.lower()}\b")), c)
-        for c in fv.CURRENCY_CODES
+        f"when {has(lower, c.lower())} and {matches(lower, rf'\b{c.lower()}\b')} then '{c}'" for c in fv.CURRENCY_CODES
     ]
-    return F.coalesce(*codes, first_symbol(lower))
+    symbols = [f"when {has(lower, s)} then '{c}'" for s, c in fv.CURRENCY_SYMBOLS.items()]
+    return F.expr(f"case {' '.join([*codes, *symbols])} end")
 
 
-def currency_inferred(text: Column, lower: Column) -> Column:
+def currency_inferred(text: str = "text", lower: str = "text_lower") -> Column:
     """Dollar misread as 5 or S, or a code glued to the word "currency".
 
     Meant for texts in which ``currency_explicit`` found nothing. The atomic group
@@ -120,37 +122,35 @@ def currency_inferred(text: Column, lower: Column) -> Column:
     the widest misread-5 form holds the narrower ones, and a text with an indicator
     of its own always has an amount.
     """
-    amount = java_regex(fv.MISREAD_FIVE_AMOUNT).removeprefix("(?d)")
-    before = rf"(?dm)^(?>.*?(?:total|amount|price|cost|due|fee)).*?{amount}"
-    after = rf"(?d){amount}.*?(?:total|amount|due)"
-    near_word = (_has(lower, "total", "amount", "price", "cost", "due", "fee") & lower.rlike(before)) | (
-        _has(lower, "total", "amount", "due") & lower.rlike(after)
-    )
-    misread = lower.contains("5") & lower.rlike(java_regex(fv.MISREAD_FIVE_AMOUNT)) & near_word
-
-    labelled = F.when(
-        lower.contains("currency"),
-        F.coalesce(*[
-            F.get(F.regexp_extract_all(lower, F.lit(java_regex(p)), F.lit(1)), F.lit(0))
-            for p in fv.CURRENCY_LABEL_PATTERNS
-        ]),
+    amount = sql.java_regex(fv.MISREAD_FIVE_AMOUNT).removeprefix("(?d)")
+    before = rf"^(?>.*?(?:total|amount|price|cost|due|fee)).*?{amount}"
+    after = rf"{amount}.*?(?:total|amount|due)"
+    near_word = (
+        f"({has(lower, 'total', 'amount', 'price', 'cost', 'due', 'fee')} and {matches(lower, before, 'm')}"
+        f" or {has(lower, 'total', 'amount', 'due')} and {matches(lower, after)})"
     )
+    misread = f"{has(lower, '5')} and {matches(lower, fv.MISREAD_FIVE_AMOUNT)} and {near_word}"
 
-    five, letter, five_long = [java_regex(p) for p in fv.DOLLAR_INDICATORS]
+    labels = [
+        f"get(regexp_extract_all({lower}, {lit(sql.java_regex(p))}, 1), 0)" for p in fv.CURRENCY_LABEL_PATTERNS
+    ]
+    labelled = f"upper({when(has(lower, 'currency'), coalesce(labels))})"
+
+    five, letter, five_long = [matches(text, p) for p in fv.DOLLAR_INDICATORS]
     indicator = (
-        text.contains("$")
-        | (text.contains("S") & text.rlike(letter))
-        | (text.contains("5") & (text.rlike(five) | text.rlike(five_long)))
+        f"({has(text, '$')} or {has(text, 'S')} and {letter} or {has(text, '5')} and ({five} or {five_long}))"
     )
-    in_invoice = _has(lower, *fv.INVOICE_KEYWORDS) | lower.rlike(r"(?d)(?:price|cost|fee).*?[\d,]\.\d{2}")
-    indicated = lower.rlike(r"[\d,]\.\d{2}") & indicator & in_invoice
-    return F.coalesce(F.when(misread, "USD"), F.upper(labelled), F.when(indicated, "USD"))
+    priced = matches(lower, r"(?:price|cost|fee).*?[\d,]\.\d{2}")
+    in_invoice = f"({has(lower, *fv.INVOICE_KEYWORDS)} or {priced})"
+    some_amount = matches(lower, r"[\d,]\.\d{2}")
+    indicated = f"{some_amount} and {indicator} and {in_invoice}"
+    return F.expr(coalesce([when(misread, "'USD'"), labelled, when(indicated, "'USD'")]))
 
 
-def tax_normalised(tax: Column, vat: Column) -> list[Column]:
+def tax_normalised(tax: str = "_tax", vat: str = "_vat") -> list[Column]:
     """VAT wins over tax; amount and type."""
-    kind = F.when(vat.isNotNull(), "vat").when(tax.isNotNull(), "sales_tax")
-    return [F.coalesce(vat, tax).alias("tax_amount"), kind.alias("tax_type")]
+    kind = f"case when {vat} is not null then 'vat' when {tax} is not null then 'sales_tax' end"
+    return [F.expr(f"coalesce({vat}, {tax})").alias("tax_amount"), F.expr(kind).alias("tax_type")]
 
 
 def raw_rule_fields(docs: DataFrame) -> DataFrame:
@@ -160,35 +160,32 @@ def raw_rule_fields(docs: DataFrame) -> DataFrame:
     the small pieces the second reads more than once.
     """
     keep = [c for c in docs.columns if c != "text"]
-    text, lower = F.col("text"), F.col("text_lower")
-    header = F.substring(text, 1, fv.HEADER_CHARS)
     pieces = normalise_text(docs).select(
         *keep,
-        header.alias("_header"),
-        vendor_labelled_raw(header).alias("_vendor"),
-        *[c.alias(f"_date{i}") for i, c in enumerate(date_contexts(text, lower))],
-        invoice_number(lower).alias("invoice_number"),
-        subtotal(lower).alias("subtotal"),
-        discount(lower).alias("discount"),
-        tax_amount(lower).alias("_tax"),
-        vat_amount(lower).alias("_vat"),
-        total(lower).alias("total"),
-        currency_explicit(lower).alias("_explicit"),
-        text,
-        lower,
+        F.expr(header()).alias("_header"),
+        vendor_labelled_raw().alias("_vendor"),
+        *date_contexts(),
+        invoice_number().alias("invoice_number"),
+        subtotal().alias("subtotal"),
+        discount().alias("discount"),
+        tax_amount().alias("_tax"),
+        vat_amount().alias("_vat"),
+        total().alias("total"),
+        currency_explicit().alias("_explicit"),
+        "text",
+        "text_lower",
     )
-    dates = [clean_date(F.col(f"_date{i}")) for i in range(len(fv.DATE_KEYWORDS))]
     return pieces.select(
         *keep,
         "invoice_number",
-        F.coalesce(*dates).alias("invoice_date"),
+        date_from_contexts().alias("invoice_date"),
         F.coalesce(vendor_from_raw(F.col("_vendor")), vendor_fallback(F.col("_header"))).alias("vendor_name"),
         "subtotal",
         "discount",
-        *tax_normalised(F.col("_tax"), F.col("_vat")),
-        F.lit(None).cast("boolean").alias("tax_inferred"),
+        *tax_normalised(),
+        F.expr("cast(null as boolean)").alias("tax_inferred"),
         "total",
-        F.coalesce(F.col("_explicit"), currency_inferred(text, lower)).alias("currency"),
+        F.coalesce(F.col("_explicit"), currency_inferred()).alias("currency"),
     )
 
 
@@ -199,26 +196,23 @@ def rule_fields(docs: DataFrame) -> DataFrame:
 
 def extract_one(docs: DataFrame, field: str) -> DataFrame:
     """(doc_id, value) of a single extractor, for callers that want one field."""
-    text, lower = F.col("text"), F.col("text_lower")
     prepared = normalise_text(docs).select("doc_id", "text", "text_lower")
-    header = F.substring(text, 1, fv.HEADER_CHARS)
     if field == "invoice_date":
-        cut = prepared.select("doc_id", *[c.alias(f"_d{i}") for i, c in enumerate(date_contexts(text, lower))])
-        return cut.select(
-            "doc_id", F.coalesce(*[clean_date(F.col(f"_d{i}")) for i in range(len(fv.DATE_KEYWORDS))]).alias("value")
-        )
+        return prepared.select("doc_id", *date_contexts()).select("doc_id", date_from_contexts().alias("value"))
     if field == "vendor_labelled":
-        cut = prepared.select("doc_id", vendor_labelled_raw(header).alias("_raw"))
-        return cut.select("doc_id", vendor_from_raw(F.col("_raw")).alias("value"))
-    value = {
-        "invoice_number": lambda: invoice_number(lower),
-        "vendor_fallback": lambda: vendor_fallback(header),
-        "subtotal": lambda: subtotal(lower),
-        "tax_amount": lambda: tax_amount(lower),
-        "vat_amount": lambda: vat_amount(lower),
-        "discount": lambda: discount(lower),
-        "total": lambda: total(lower),
-        "currency_explicit": lambda: currency_explicit(lower),
-        "currency_inferred": lambda: currency_inferred(text, lower),
-    }[field]()
-    return prepared.select("doc_id", value.alias("value"))
+        cut = prepared.select("doc_id", vendor_labelled_raw().alias("_vendor"))
+        return cut.select("doc_id", vendor_from_raw(F.col("_vendor")).alias("value"))
+    if field == "vendor_fallback":
+        cut = prepared.select("doc_id", F.expr(header()).alias("_header"))
+        return cut.select("doc_id", vendor_fallback(F.col("_header")).alias("value"))
+    extractor = {
+        "invoice_number": invoice_number,
+        "subtotal": subtotal,
+        "tax_amount": tax_amount,
+        "vat_amount": vat_amount,
+        "discount": discount,
+        "total": total,
+        "currency_explicit": currency_explicit,
+        "currency_inferred": currency_inferred,
+    }[field]
+    return prepared.select("doc_id", extractor().alias("value"))

@@ -263,7 +263,7 @@ def _entity_fields() -> str:
             cols.append(f"cast(null as varchar) as {c}")
             continue
         types = ", ".join(q(t) for t in names[f])
-        cols.append(f"(list(content order by entity_idx desc) filter (where type in ({types})))[1] as {c}")
+        cols.append(f"(list(content order by entity_idx desc, content desc nulls last) filter (where type in ({types})))[1] as {c}")
     return f"select doc_id, cast(4 as bigint) as provider_rank, {', '.join(cols)} from entities group by doc_id"
 
 
