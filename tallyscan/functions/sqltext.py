@@ -11,9 +11,17 @@ from collections.abc import Sequence
 from tallyscan.fixed_values import DATE_YEAR_FIRST, DATE_YEAR_LAST, WHITESPACE, WIDE_WHITESPACE
 
 MONEY = "decimal(28,2)"
-NOISE = rf"[$€£¥₹,_\s{WIDE_WHITESPACE}]"
+# Wide classes are slow per character; a plain class in front settles nearly all characters.
+WIDE_SPACE = rf"[^\t-\r -~](?<=[{WIDE_WHITESPACE}])"
+NOISE = rf"[^0-9A-Za-z.+-](?<=[$€£¥₹,_\s{WIDE_WHITESPACE}])"
+# a captured amount that clean_amount() accepts: a digit somewhere, at most 26 before the point
+ACCEPTED_AMOUNT = r"^(?=.*\d)[0,]*(?:[1-9],*(?:\d,*){0,25})?(?:\.\d*)?$"
 # More than ten decimals: the tail only matters as "more than a half", so one digit stands for it.
 LONG_TAIL = r"^([+-]?\d*\.\d{9})\d*[1-9]\d*$"
+# Text that is no number becomes one that is out of range: both end as null, but
+# parsing the latter raises and catches no exception, which would cost far more than the parse.
+NO_NUMBER = r"(?s)^(?![+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$).*$"
+OUT_OF_RANGE = "1e99"
 
 # Word boundaries spelled out: \b is Unicode-aware on some JDKs and ASCII-only on others.
 _NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
@@ -53,7 +61,7 @@ def strip(text: str) -> str:
 
 
 def plain_spaces(text: str) -> str:
-    return replace(text, f"[{WIDE_WHITESPACE}]", " ")
+    return replace(text, WIDE_SPACE, " ")
 
 
 def has(text: str, *words: str) -> str:
@@ -70,13 +78,21 @@ def when(condition: str, value: str) -> str:
 
 def amount(value: str) -> str:
     """See ``amounts.clean_amount``. Every step reads its input once."""
-    digits = replace(replace(value, NOISE, ""), LONG_TAIL, "$11")
+    digits = replace(replace(replace(value, NOISE, ""), NO_NUMBER, OUT_OF_RANGE), LONG_TAIL, "$11")
     return f"try_cast(bround(try_cast({digits} as decimal(38,10)), 2) as {MONEY})"
 
 
-def amounts(text: str, patterns: Sequence[str], flags: str = "") -> list[str]:
-    """One nullable amount per pattern; coalesce() of them stops at the first hit."""
-    return [amount(group(text, p, flags)) for p in patterns]
+def first_match(value: str, pattern: str) -> str:
+    """The match of a pattern in a short value, null when there is none; reads the value once."""
+    return f"get(regexp_extract_all({value}, {lit(pattern)}, 0), 0)"
+
+
+def captures(text: str, patterns: Sequence[str], flags: str = "") -> list[str]:
+    """Per pattern the captured amount of its first match, null when it is not acceptable.
+
+    ``amount(coalesce(captures))`` stops at the first hit and parses once.
+    """
+    return [first_match(group(text, p, flags), ACCEPTED_AMOUNT) for p in patterns]
 
 
 def day(value: str) -> str:

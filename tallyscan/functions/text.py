@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscan.fixed_values import WHITESPACE, WIDE_WHITESPACE
+from tallyscan.fixed_values import WHITESPACE
+from tallyscan.functions.sqltext import WIDE_SPACE
 
 
 def strip(col: Column) -> Column:
@@ -22,7 +23,7 @@ def is_blank(col: Column) -> Column:
 
 def plain_spaces(col: Column) -> Column:
     """Maps wide white space 1:1 to a blank, so that ``\\s`` sees it and offsets stay."""
-    return F.regexp_replace(col, f"[{WIDE_WHITESPACE}]", " ")
+    return F.regexp_replace(col, WIDE_SPACE, " ")
 
 
 def is_upper(col: Column) -> Column:

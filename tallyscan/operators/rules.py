@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyscan import fixed_values as fv
 from tallyscan.functions import is_upper, plain_spaces, strip, title_case
 from tallyscan.functions import sqltext as sql
-from tallyscan.functions.sqltext import MONEY, amounts, coalesce, has, lit, matches, when
+from tallyscan.functions.sqltext import MONEY, amount, captures, coalesce, first_match, has, lit, matches, when
 from tallyscan.operators.reconcile import field_exclusivity, reconcile_amounts
 from tallyscan.operators.text_assembly import normalise_text
 
@@ -25,10 +25,7 @@ _DATES = [f"_date{i}" for i in range(len(fv.DATE_KEYWORDS))]
 
 def invoice_number(lower: str = "text_lower") -> Column:
     """Upper-cased; a candidate without a digit (so every label word) is refused."""
-    accepted = [
-        f"get(regexp_extract_all(upper({sql.group(lower, p, 'i')}), {lit(_ACCEPTED_NUMBER)}, 0), 0)"
-        for p in fv.NUMBER_PATTERNS
-    ]
+    accepted = [first_match(f"upper({sql.group(lower, p, 'i')})", _ACCEPTED_NUMBER) for p in fv.NUMBER_PATTERNS]
     return F.expr(when(has(lower, "inv"), coalesce(accepted)))
 
 
@@ -77,8 +74,8 @@ def vendor_fallback(head: Column) -> Column:
 
 
 def _table_then_line(lower: str, table: list[str], line: list[str]) -> str:
-    in_table = when(has(lower, "|"), coalesce(amounts(lower, table, "i")))
-    return coalesce([in_table, *amounts(lower, line)])
+    in_table = when(has(lower, "|"), coalesce(captures(lower, table, "i")))
+    return amount(coalesce([in_table, *captures(lower, line)]))
 
 
 def subtotal(lower: str = "text_lower") -> Column:
@@ -91,7 +88,7 @@ def tax_amount(lower: str = "text_lower") -> Column:
 
 
 def vat_amount(lower: str = "text_lower") -> Column:
-    return F.expr(when(has(lower, "vat", "added"), coalesce(amounts(lower, fv.VAT_PATTERNS))))
+    return F.expr(when(has(lower, "vat", "added"), amount(coalesce(captures(lower, fv.VAT_PATTERNS)))))
 
 
 def discount(lower: str = "text_lower") -> Column:
@@ -101,7 +98,7 @@ def discount(lower: str = "text_lower") -> Column:
 
 
 def total(lower: str = "text_lower") -> Column:
-    return F.expr(when(has(lower, "total", "amount"), coalesce(amounts(lower, fv.TOTAL_PATTERNS, "m"))))
+    return F.expr(when(has(lower, "total", "amount"), amount(coalesce(captures(lower, fv.TOTAL_PATTERNS, "m")))))
 
 
 def currency_explicit(lower: str = "text_lower") -> Column:
@@ -122,9 +119,9 @@ def currency_inferred(text: str = "text", lower: str = "text_lower") -> Column:
     the widest misread-5 form holds the narrower ones, and a text with an indicator
     of its own always has an amount.
     """
-    amount = sql.java_regex(fv.MISREAD_FIVE_AMOUNT).removeprefix("(?d)")
-    before = rf"^(?>.*?(?:total|amount|price|cost|due|fee)).*?{amount}"
-    after = rf"{amount}.*?(?:total|amount|due)"
+    five_amount = sql.java_regex(fv.MISREAD_FIVE_AMOUNT).removeprefix("(?d)")
+    before = rf"^(?>.*?(?:total|amount|price|cost|due|fee)).*?{five_amount}"
+    after = rf"{five_amount}.*?(?:total|amount|due)"
     near_word = (
         f"({has(lower, 'total', 'amount', 'price', 'cost', 'due', 'fee')} and {matches(lower, before, 'm')}"
         f" or {has(lower, 'total', 'amount', 'due')} and {matches(lower, after)})"

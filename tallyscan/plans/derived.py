@@ -9,20 +9,29 @@ table covers all rows of what it is derived from.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 NOW = "1997-06-01 00:00:00"
+KEYS = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey", "documents": "doc_id",
+    "pages": "page_id", "conversations": "conv_id", "events": "event_id",
+}
 
 
 class SparkDialect:
     name = "spark"
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, spread: dict[str, int] | None = None):
         self.folder = folder
+        self.spread = spread or {}
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        path = f"parquet.`{self.folder}/{name}.parquet`"
+        if name not in self.spread:
+            return path
+        return f"(select /*+ REPARTITION({self.spread[name]}, {KEYS[name]}) */ * from {path})"
 
     def div(self, a: str, b: str) -> str:
         return f"(({a}) div ({b}))"
@@ -447,26 +456,31 @@ def with_clause(query: str, definitions: dict[str, str]) -> str:
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + query
 
 
+@lru_cache(maxsize=64)
+def _few_files(spark: SparkSession, folder: str, cores: int) -> dict[str, int]:
+    """Tables with fewer files than cores, which a scan would leave idle; larger ones stay as they lie."""
+    small = {}
+    for name in KEYS:
+        if len(spark.read.parquet(f"{folder}/{name}.parquet").inputFiles()) < cores:
+            small[name] = cores
+    return small
+
+
 class Tables:
-    """Derived tables as DataFrames; the texts of small inputs are spread over the cores."""
+    """Derived tables as DataFrames, one attribute each."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
+        self.folder = folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        dialect = SparkDialect(folder)
+        spread = _few_files(spark, folder, spark.sparkContext.defaultParallelism)
+        dialect = SparkDialect(folder, spread)
         self.definitions = {n: make(dialect) for n, make in TABLES.items()}
-        self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
-        return self.spark.sql(with_clause(f"select * from {name}", self.definitions))
+        return self.sql(f"select * from {name}")
 
     def sql(self, query: str) -> DataFrame:
         return self.spark.sql(with_clause(query, self.definitions))
-
-    def given(self, name: str) -> DataFrame:
-        """A given table. Fewer files than cores would leave cores idle, so such a table is spread."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df

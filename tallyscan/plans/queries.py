@@ -248,16 +248,7 @@ def d11_rule_fields(t: Tables) -> DataFrame:
 @query
 def d11_rule_fields_corpus(t: Tables) -> DataFrame:
     """All given texts, none an invoice: every field a rule still finds, and its verdict."""
-    from functools import reduce
-
-    parts = [
-        t.given("documents").select("doc_id", F.lit("pdf").alias("kind"), "text"),
-        t.given("pages").select((F.col("page_id") + 1000000000).alias("doc_id"), F.lit("pdf").alias("kind"), F.col("html").alias("text")),
-        t.given("conversations").select(
-            (F.col("conv_id") * 1000 + F.col("turn") + 2000000000).alias("doc_id"), F.lit("pdf").alias("kind"), "text"
-        ),
-    ]
-    checked = reconcile.validate_accounting(rules.rule_fields(reduce(DataFrame.unionByName, parts)))
+    checked = reconcile.validate_accounting(rules.rule_fields(t.corpus))
     return flat_fields(checked, "is_valid", "validation_error")
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyscan.operators import lifecycle
 from tallyscan.operators.lifecycle import Moment
@@ -35,13 +36,14 @@ def _batch_path(root: str, batch_id: int) -> str:
     return f"{root}/table/batch={batch_id}"
 
 
-def _stored(spark: SparkSession, root: str, schema) -> DataFrame:
+def _stored(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """All batches written so far; an empty table before the first one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table")
     exists = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
     if not exists:
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(-1))
-    return spark.read.schema(schema.add("batch", "int") if "batch" not in schema.names else schema).parquet(f"{root}/table")
+    with_batch = StructType([*schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(with_batch).parquet(f"{root}/table")
 
 
 def stream_ingest(attachments: DataFrame, root: str, now: Moment, watermark: str | None = None) -> DataFrame:
