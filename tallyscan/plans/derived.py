@@ -441,7 +441,7 @@ TABLES = {
 }
 
 
-def with_clause(query: str, definitions: dict[str, str]) -> str:
+def with_clause(query: str, definitions: dict[str, str], materialized: tuple[str, ...] = ()) -> str:
     """Puts the definitions a query needs in front of it, in their own order."""
     needed: set[str] = set()
 
@@ -452,7 +452,9 @@ def with_clause(query: str, definitions: dict[str, str]) -> str:
                 visit(definitions[name])
 
     visit(query)
-    parts = [f"{n} as ({definitions[n]})" for n in definitions if n in needed]
+    parts = [
+        f"{n} as {'materialized ' if n in materialized else ''}({definitions[n]})" for n in definitions if n in needed
+    ]
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + query
 
 

@@ -54,6 +54,8 @@ if __name__ == "__main__":
             problem = compare(spark, con, name, queries()[name], oracle_sql()[name], folder)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
+        if 'FATAL' in problem or 'INTERNAL' in problem:
+            con = connect(folder)
         bad += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
     print(f"{len(names) - bad} of {len(names)} equal")
