@@ -14,10 +14,19 @@ LAYOUT_FIELDS = ["invoice_number", "invoice_date", "vendor_name", "subtotal", "t
 _TYPES = {"invoice_date": "date", "subtotal": MONEY, "tax": MONEY, "vat": MONEY, "total": MONEY}
 
 
+def first_page(parts: DataFrame) -> DataFrame:
+    return parts.where(F.col("page") == 0)
+
+
+def readable(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of documents that are no images."""
+    no_image = ~F.coalesce(F.col("kind") == "image", F.lit(False))
+    return rows.join(docs.where(no_image).select("doc_id"), "doc_id", "left_semi")
+
+
 def layout_scope(parts: DataFrame, docs: DataFrame) -> DataFrame:
     """Words or table rows of the first page of documents that are no images."""
-    readable = docs.where(~F.coalesce(F.col("kind") == "image", F.lit(False))).select("doc_id")
-    return parts.where(F.col("page") == 0).join(readable, "doc_id", "left_semi")
+    return readable(first_page(parts), docs)
 
 
 def _label_field(label: Column) -> Column:
@@ -75,7 +84,8 @@ def lines_from_words(words: DataFrame) -> DataFrame:
     )
     sorted_words = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
     chunks = keyed.groupBy("doc_id", "page", "y", "chunk").agg(sorted_words.alias("words"))
-    amounts = F.filter(F.transform("words", lambda w: clean_amount(w["text"])), lambda a: a.isNotNull())
+    with_digit = F.filter("words", lambda w: w["text"].rlike("[0-9]"))
+    amounts = F.filter(F.transform(with_digit, lambda w: clean_amount(w["text"])), lambda a: a.isNotNull())
     chunk_lines = chunks.select(
         "doc_id", "page", "y",
         F.struct(
@@ -153,12 +163,21 @@ def merge_layout(tables: DataFrame, lines: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("t.doc_id", "w.doc_id").alias("doc_id"), *[merged(f) for f in LAYOUT_FIELDS])
 
 
-def layout_fields(docs: DataFrame, words: DataFrame | None, table_rows: DataFrame | None) -> DataFrame:
-    """Everything the layout of the first page gives, one row per document with any of it."""
-    tables = None if table_rows is None else fields_from_tables(layout_scope(table_rows, docs))
-    lines = None if words is None else fields_from_lines(layout_scope(words, docs))
+def page_fields(words: DataFrame | None, table_rows: DataFrame | None) -> DataFrame:
+    """Fields of every first page, one row per document with any of them.
+
+    Images are not sorted out here: that is one test per document later, where a
+    join at this point would move every word.
+    """
+    tables = None if table_rows is None else fields_from_tables(first_page(table_rows))
+    lines = None if words is None else fields_from_lines(first_page(words))
     if tables is not None and lines is not None:
         return merge_layout(tables, lines)
     one = tables if tables is not None else lines
     missing = {f: F.lit(None).cast(_TYPES.get(f, "string")) for f in LAYOUT_FIELDS if f not in one.columns}
     return one.withColumns(missing).select("doc_id", *LAYOUT_FIELDS)
+
+
+def layout_fields(docs: DataFrame, words: DataFrame | None, table_rows: DataFrame | None) -> DataFrame:
+    """Everything the layout of the first page gives, for documents that are no images."""
+    return readable(page_fields(words, table_rows), docs)

@@ -10,9 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # projections with many patterns make long methods; beyond this size the JVM would
-    # interpret them, so Spark is told to split them instead
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # ordered text is collected per line: many small groups, cheap to keep hashed
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
 
