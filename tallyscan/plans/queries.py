@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscan import fixed_values as fv
 from tallyscan.functions import clean_amount, clean_date, currency_code
 from tallyscan.operators import layout, lifecycle, merge, reconcile, responses, rules, serving
 from tallyscan.operators import text_assembly as ta

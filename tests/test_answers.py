@@ -1,10 +1,5 @@
 """Model answers, overlay, confidence, display."""
 
-from datetime import date
-
-import pytest
-from pyspark.sql import functions as F
-
 from tallyscan.operators import merge, responses, serving
 from tallyscan.plans.extract import Options, extract_documents, plain_fields
 
