@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -27,13 +28,17 @@ def local_session(cores: int | str = "*", app: str = "tallyscan", memory: str =
     return spark
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one in local mode only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_root(spark: SparkSession, root: str | None = None) -> str:
+    """The folder for scratch tables: ``root``, else the shared one the cluster names, else (local mode) a temporary one."""
+    shared = root or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    shared = tempfile.mkdtemp(prefix="tallyscan-")
-    spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+    return _local_root(context.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tallyscan-{application}-")
