@@ -36,14 +36,21 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK) -> DataFrame:
+def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads: str | None = None) -> DataFrame:
     """Rows of keys that more than one row has, dealt to pairs of blocks ``(key, _i, _j)``.
 
     A group of up to ``size`` rows is one block. A larger one is split by ``spread`` and every
     pair of its blocks becomes a task of its own, so any two rows of a key meet somewhere and no
-    task holds more than about two blocks. Nothing is left out at any group size.
+    task holds more than about two blocks. Nothing is left out at any group size. With ``leads`` (a
+    flag) only pairs with a leading row matter: rows that have no such partner are left out.
     """
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where("_n > 1")
+    all_of_key = Window.partitionBy(key)
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(all_of_key))
+    if leads:
+        others = F.sum(F.col(leads).cast("int")).over(all_of_key) - F.col(leads).cast("int")
+        counted = counted.withColumn("_leaders", others).where(f"_n > 1 and ({leads} or _leaders > 0)")
+    else:
+        counted = counted.where("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(size)).cast("int")
     dealt = counted.withColumn("_of", parts).withColumn("_b", F.pmod(spread, F.col("_of")).cast("int"))
     others = F.filter(

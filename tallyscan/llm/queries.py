@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from tallyscan.llm.decontaminate import OP1_SQL, op1_decontaminate
+from tallyscan.llm.langid import op8_langid
+from tallyscan.llm.linededup import OP10_SQL, op10_lines
+from tallyscan.llm.pieces import op7_pieces
 from tallyscan.llm.simhash import op4_simhash
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op7_pieces": op7_pieces,
+    "op8_langid": op8_langid,
+    "op10_lines": op10_lines,
+}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+    "op10_lines": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}

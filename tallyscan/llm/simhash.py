@@ -3,8 +3,9 @@
 Two 64-bit fingerprints link at three or fewer differing bits. Cut into three segments, the two
 segments with the fewest differing bits differ in at most one bit each. A segment, padded to 23
 bits, is decoded to the codewords of the perfect Golay [23, 12, 7] code at distance four or less
-(one to six of them): two segments that differ in one bit share at least one. A key is a pair of
-segments with one codeword index of each; rows that share a key are compared exactly.
+(one to six of them): of two segments that differ in one bit, the codeword nearest to the one is
+among those of the other. A key is a pair of segments with one codeword index of each; rows that
+share a key which is the nearest one for either of them are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscan.llm.common import blocks, by_group, components, pairs_in_groups, roots, stored, table
+from tallyscan.llm.common import BLOCK, blocks, by_group, components, pairs_in_groups, roots, stored, table
 
 # Generator of the Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1), widths of the segments.
 GENERATOR = 0b110001110101
@@ -90,20 +91,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
-def _keys(prints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
-    near, shift = [], 0
+def _keys(prints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, key, and whether the key is the row's nearest one for that pair of segments."""
+    near, own, shift = [], [], 0
     for width in SEGMENTS:
         words = (prints >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
         near.append(golay.near(words, width))
+        own.append(golay.decode(words)[:, None])
         shift += width
-    at, keys = [], []
+    at, keys, nearest = [], [], []
     for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
         left, right = near[i][:, :, None], near[j][:, None, :]
         used = (left >= 0) & (right >= 0)
         key = pair << 24 | left << 12 | right
         at.append(np.nonzero(used)[0])
         keys.append(key[used])
-    return np.concatenate(at), np.concatenate(keys)
+        nearest.append((((near[i] == own[i])[:, :, None]) & (near[j] == own[j])[:, None, :])[used])
+    return np.concatenate(at), np.concatenate(keys), np.concatenate(nearest)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +116,9 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = batch.column(0).to_numpy()
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
-            rows, keys = _keys(part.view(np.uint64), golay)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[rows])], ["key", "fp"])
+            rows, keys, nearest = _keys(part.view(np.uint64), golay)
+            columns = [pa.array(keys.astype(np.int32)), pa.array(part[rows]), pa.array(nearest)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "nearest"])
 
 
 def _links(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
@@ -135,8 +140,8 @@ def links(prints: DataFrame) -> DataFrame:
     Within a block of rows that share a key every pair is compared, but only a spanning set of
     the links leaves the task, so the output grows with the rows, not with their pairs.
     """
-    keyed = prints.select("fp").distinct().mapInArrow(_expand, "key int, fp bigint")
-    dealt = blocks(keyed, "key", F.xxhash64("fp"))
+    keyed = prints.select("fp").distinct().mapInArrow(_expand, "key int, fp bigint, nearest boolean")
+    dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "nearest")
     return by_group(dealt, ["key", "_i", "_j"], _links, "a bigint, b bigint")
 
 
@@ -160,13 +165,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, all columns kept.
 
     Rows that share an id stay or go together, except that of exact repeats (id and text) one
     stays. Rows without an id stay, as nothing tells them apart.
     """
-    kept = simhash_groups(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    groups = simhash_groups(docs, id_col, text_col, shingle)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     rows = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(docs.columns)
     rows = rows.withColumn("_text_digest", F.md5(text_col)).dropDuplicates([id_col, "_text_digest"]).drop("_text_digest")
     return rows.union(docs.where(F.col(id_col).isNull()))

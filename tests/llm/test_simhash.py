@@ -73,7 +73,7 @@ def test_large_groups_are_split(spark, monkeypatch, size):
     prints = rng.integers(0, 2**64, 20, dtype=np.uint64)
     near = [p ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for p in prints for a, b in rng.integers(0, 64, (10, 2))]
     given = np.unique(np.concatenate([prints, np.array(near, np.uint64)])).view(np.int64).tolist()
-    monkeypatch.setattr(simhash, "blocks", lambda rows, key, spread: __import__("tallyscan.llm.common", fromlist=["x"]).blocks(rows, key, spread, size))
+    monkeypatch.setattr(simhash, "BLOCK", size)
     df = spark.createDataFrame([(g,) for g in given], "fp bigint")
     found = {(r.node, r.root) for r in simhash.components(simhash.links(df)).collect()}
     wanted = {}
