@@ -6,6 +6,7 @@ from tallyscan.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.pieces import op7_pieces
+from tallyscan.llm.warc import OP9_SQL, op9_warc
 from tallyscan.llm.simhash import op4_simhash
 
 QUERIES = {
@@ -13,9 +14,11 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op7_pieces": op7_pieces,
     "op8_langid": op8_langid,
+    "op9_warc": op9_warc,
     "op10_lines": op10_lines,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op9_warc": OP9_SQL,
     "op10_lines": OP10_SQL,
 }
