@@ -39,6 +39,8 @@ def same(left: Column, right: Column) -> Column:
 def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads: str | None = None) -> DataFrame:
     """Rows of keys that more than one row has, dealt to pairs of blocks ``(key, _i, _j)``.
 
+    ``_b`` is the block of the row and ``_of`` the number of blocks of its key.
+
     A group of up to ``size`` rows is one block. A larger one is split by ``spread`` and every
     pair of its blocks becomes a task of its own, so any two rows of a key meet somewhere and no
     task holds more than about two blocks. Nothing is left out at any group size. With ``leads`` (a
@@ -58,7 +60,7 @@ def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads:
     )
     dealt = dealt.withColumn("_o", F.explode(others))
     return dealt.select(
-        *rows.columns, F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
+        *rows.columns, "_b", "_of", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
     )
 
 

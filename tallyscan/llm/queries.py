@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyscan.llm.decontaminate import OP1_SQL, op1_decontaminate
+from tallyscan.llm.embeddings import op5_embeddings
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.pieces import op7_pieces
@@ -12,6 +13,7 @@ from tallyscan.llm.simhash import op4_simhash
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_embeddings": op5_embeddings,
     "op7_pieces": op7_pieces,
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,

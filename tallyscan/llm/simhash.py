@@ -142,7 +142,7 @@ def links(prints: DataFrame) -> DataFrame:
     """
     keyed = prints.select("fp").distinct().mapInArrow(_expand, "key int, fp bigint, nearest boolean")
     dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "nearest")
-    return by_group(dealt, ["key", "_i", "_j"], _links, "a bigint, b bigint")
+    return by_group(dealt.select("key", "_i", "_j", "fp"), ["key", "_i", "_j"], _links, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
