@@ -7,6 +7,7 @@ from tallyscan.llm.embeddings import op5_embeddings
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.pieces import op7_pieces
+from tallyscan.llm.suffixes import OP6_SQL, op6_suffixes
 from tallyscan.llm.warc import OP9_SQL, op9_warc
 from tallyscan.llm.simhash import op4_simhash
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
     "op5_embeddings": op5_embeddings,
+    "op6_suffixes": op6_suffixes,
     "op7_pieces": op7_pieces,
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op6_suffixes": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_lines": OP10_SQL,
 }
