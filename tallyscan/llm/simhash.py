@@ -1,11 +1,12 @@
 """SimHash near-duplicates by fuzzy hashing with the binary Golay code.
 
-Two 64-bit fingerprints link at three or fewer differing bits. Cut into three segments, the two
-segments with the fewest differing bits differ in at most one bit each. A segment, padded to 23
-bits, is decoded to the codewords of the perfect Golay [23, 12, 7] code at distance four or less
-(one to six of them): of two segments that differ in one bit, the codeword nearest to the one is
-among those of the other. A key is a pair of segments with one codeword index of each; rows that
-share a key which is the nearest one for either of them are compared exactly.
+Two 64-bit fingerprints link at three or fewer differing bits. They are cut into three segments.
+A segment, padded to 23 bits, is decoded to the codewords of the perfect Golay [23, 12, 7] code at
+distance four or less (one to six of them): of two segments that differ in at most one bit, the
+codeword nearest to the one is among those of the other. By the pigeonhole principle either all
+three segments differ in one bit each, or one is equal and another differs in at most one bit. So
+keys are three codewords, one or two of them varied, or an equal segment with a codeword of another
+one. Rows that share a key which is a nearest one for either of them are compared exactly.
 """
 
 from __future__ import annotations
@@ -92,22 +93,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _keys(prints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, key, and whether the key is the row's nearest one for that pair of segments."""
-    near, own, shift = [], [], 0
+    """Row number, key, and whether the key can lead: every link has a leading side."""
+    words, near, own, shift = [], [], [], 0
     for width in SEGMENTS:
-        words = (prints >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
-        near.append(golay.near(words, width))
-        own.append(golay.decode(words)[:, None])
+        words.append((prints >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64))
+        near.append(golay.near(words[-1], width))
+        own.append(golay.decode(words[-1]))
         shift += width
-    at, keys, nearest = [], [], []
-    for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        left, right = near[i][:, :, None], near[j][:, None, :]
-        used = (left >= 0) & (right >= 0)
-        key = pair << 24 | left << 12 | right
+    at, keys, leads = [], [], []
+
+    def add(key: np.ndarray, used: np.ndarray, lead: np.ndarray) -> None:
         at.append(np.nonzero(used)[0])
         keys.append(key[used])
-        nearest.append((((near[i] == own[i])[:, :, None]) & (near[j] == own[j])[:, None, :])[used])
-    return np.concatenate(at), np.concatenate(keys), np.concatenate(nearest)
+        leads.append(np.broadcast_to(lead, used.shape)[used])
+
+    # one bit in each segment: one side varies the first codeword, the other side the other two
+    add(near[0] << 24 | (own[1] << 12 | own[2])[:, None], near[0] >= 0, np.array(True))
+    left, right = near[1][:, :, None], near[2][:, None, :]
+    both_own = (left == own[1][:, None, None]) & (right == own[2][:, None, None])
+    add(own[0][:, None, None] << 24 | left << 12 | right, (left >= 0) & (right >= 0) & ~both_own, np.array(False))
+    # an equal segment and one with at most one bit
+    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)), 1):
+        add(kind << 36 | words[i][:, None] << 12 | near[j], near[j] >= 0, near[j] == own[j][:, None])
+    return np.concatenate(at), np.concatenate(keys), np.concatenate(leads)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +124,8 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = batch.column(0).to_numpy()
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
-            rows, keys, nearest = _keys(part.view(np.uint64), golay)
-            columns = [pa.array(keys.astype(np.int32)), pa.array(part[rows]), pa.array(nearest)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "nearest"])
+            rows, keys, leads = _keys(part.view(np.uint64), golay)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows]), pa.array(leads)], ["key", "fp", "leads"])
 
 
 def _links(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
@@ -140,8 +147,8 @@ def links(prints: DataFrame) -> DataFrame:
     Within a block of rows that share a key every pair is compared, but only a spanning set of
     the links leaves the task, so the output grows with the rows, not with their pairs.
     """
-    keyed = prints.select("fp").distinct().mapInArrow(_expand, "key int, fp bigint, nearest boolean")
-    dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "nearest")
+    keyed = prints.select("fp").distinct().mapInArrow(_expand, "key bigint, fp bigint, leads boolean")
+    dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "leads")
     return by_group(dealt.select("key", "_i", "_j", "fp"), ["key", "_i", "_j"], _links, "a bigint, b bigint")
 
 

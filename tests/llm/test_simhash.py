@@ -94,3 +94,20 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash_groups(df).collect() == []
     assert fingerprint(None) == 0
+
+
+def test_keys_meet_for_every_pattern_of_three_bits():
+    from tallyscan.llm.simhash import _keys
+
+    rng = np.random.default_rng(7)
+    golay = Golay()
+    prints = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for bits in (1, 2, 3):
+        flips = np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in prints], np.uint64)
+        sides = []
+        for side in (prints, prints ^ flips):
+            at, keys, leads = _keys(side, golay)
+            sides.append([{} for _ in prints])
+            for i, k, lead in zip(at.tolist(), keys.tolist(), leads.tolist()):
+                sides[-1][i][k] = lead
+        assert all(any(a[k] or b[k] for k in a.keys() & b.keys()) for a, b in zip(*sides))
