@@ -8,11 +8,13 @@ from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.pieces import op7_pieces
 from tallyscan.llm.suffixes import OP6_SQL, op6_suffixes
+from tallyscan.llm.toxicity import op3_toxicity
 from tallyscan.llm.warc import OP9_SQL, op9_warc
 from tallyscan.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_embeddings": op5_embeddings,
     "op6_suffixes": op6_suffixes,
