@@ -6,6 +6,7 @@ from tallyscan.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tallyscan.llm.embeddings import op5_embeddings
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
+from tallyscan.llm.passages import op2_passages
 from tallyscan.llm.pieces import op7_pieces
 from tallyscan.llm.suffixes import OP6_SQL, op6_suffixes
 from tallyscan.llm.toxicity import op3_toxicity
@@ -14,6 +15,7 @@ from tallyscan.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_passages": op2_passages,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_embeddings": op5_embeddings,
