@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,18 @@ def plain_spaces(col: Column) -> Column:
     return F.regexp_replace(col, WIDE_SPACE, " ")
 
 
+@lru_cache(maxsize=1)
+def _digits() -> tuple[str, str]:
+    """All decimal digits beyond ASCII, and the ASCII ones they stand for."""
+    other = [chr(c) for c in range(128, 0x110000) if unicodedata.decimal(chr(c), None) is not None]
+    return "".join(other), "".join(str(unicodedata.decimal(c)) for c in other)
+
+
+def ascii_digits(col: Column) -> Column:
+    """Decimal digits of any script as 0 to 9, one for one; texts without such digits are not touched."""
+    return F.when(col.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(col, *_digits())).otherwise(col)
+
+
 def is_upper(col: Column) -> Column:
     """At least one cased letter and no lower-case one."""
     return (col == F.upper(col)) & (col != F.lower(col))
@@ -73,8 +87,10 @@ def ordered_text(
     def joined(name: str) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.col(name))), lambda p: p["t"]), sep)
 
+    # dealt by chunk even if the rows already lie by key, else a hot key stays in one task
     chunks = (
         rows.select(*keys, chunk.alias("_chunk"), piece.alias("_piece"))
+        .repartition(*keys, "_chunk")
         .groupBy(*keys, "_chunk")
         .agg(joined("_piece").alias("_text"))
     )

@@ -53,7 +53,7 @@ def fields_from_tables(table_rows: DataFrame) -> DataFrame:
         .select("doc_id", "table_idx", "row_idx", _label_field(F.col("label")).alias("field"), "value")
         .where(F.col("field").isNotNull())
     )
-    place = F.struct("table_idx", "row_idx")
+    place = F.struct("table_idx", "row_idx", "value")
 
     def first(field: str, value: Column) -> Column:
         usable = F.when(F.col("field") == field, value)
@@ -83,6 +83,8 @@ def lines_from_words(words: DataFrame) -> DataFrame:
         F.floor(F.col("word_idx") / CHUNK_ROWS).alias("chunk"),
     )
     sorted_words = F.array_sort(F.collect_list(F.struct("word_idx", "text")))
+    # dealt by line and chunk even if a join before has put a document into one partition
+    keyed = keyed.repartition("doc_id", "page", "y", "chunk")
     chunks = keyed.groupBy("doc_id", "page", "y", "chunk").agg(sorted_words.alias("words"))
     with_digit = F.filter("words", lambda w: w["text"].rlike("[0-9]"))
     amounts = F.filter(F.transform(with_digit, lambda w: clean_amount(w["text"])), lambda a: a.isNotNull())

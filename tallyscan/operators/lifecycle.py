@@ -1,7 +1,9 @@
 """Lifecycle of documents in the ``invoices`` table.
 
 Every transition is a table-to-table job: the rows concerned come in as a second
-table with one row per id, and the result is the whole table in its next state.
+table, and the result is the whole table in its next state, or with ``changed_only``
+just the rows that change (no other row is shuffled then). Of several changes of one
+id the largest counts, by all its columns in turn.
 ``now`` is an argument, so a rerun gives the same rows.
 """
 
@@ -30,10 +32,16 @@ def _set(invoices: DataFrame, hit: Column, **changes: Column | str) -> DataFrame
     })
 
 
-def _joined(invoices: DataFrame, changes: DataFrame, **columns: str) -> DataFrame:
-    """Left join on id; each column of ``changes`` arrives under the given new name."""
-    renamed = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(new) for new, c in columns.items()])
-    return invoices.join(renamed, "id", "left")
+def _joined(invoices: DataFrame, changes: DataFrame, changed_only: bool = False, **columns: str) -> DataFrame:
+    """Join on id; each column of ``changes`` arrives under the given new name."""
+    one = changes.groupBy("id").agg(F.max(F.struct(*[F.col(c).alias(new) for new, c in columns.items()])).alias("_change"))
+    renamed = one.select("id", F.lit(True).alias("_hit"), "_change.*")
+    return invoices.join(renamed, "id", "inner" if changed_only else "left")
+
+
+def current_state(invoices: DataFrame, changed: DataFrame) -> DataFrame:
+    """The table with ``changed`` rows in place of those with the same id."""
+    return invoices.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
 def _oldest(rows: DataFrame, limit: int | None) -> DataFrame:
@@ -75,10 +83,10 @@ def _failed(rows: DataFrame, hit: Column, error: Column, now: Moment, max_attemp
 
 
 def apply_failures(
-    invoices: DataFrame, failures: DataFrame, now: Moment, max_attempts: int = fv.MAX_ATTEMPTS
+    invoices: DataFrame, failures: DataFrame, now: Moment, max_attempts: int = fv.MAX_ATTEMPTS, changed_only: bool = False
 ) -> DataFrame:
     """``failures(id, error)``: counts the attempt and sets the next one, or gives up."""
-    rows = _joined(invoices, failures, _error="error")
+    rows = _joined(invoices, failures, changed_only, _error="error")
     return _failed(rows, F.col("_hit"), F.col("_error"), now, max_attempts).select(*invoices.columns)
 
 
@@ -100,14 +108,17 @@ def text_error() -> Column:
 
 
 def apply_text(
-    invoices: DataFrame, texts: DataFrame, now: Moment, max_attempts: int = fv.MAX_ATTEMPTS
+    invoices: DataFrame, texts: DataFrame, now: Moment, max_attempts: int = fv.MAX_ATTEMPTS, changed_only: bool = False
 ) -> DataFrame:
     """``texts(id, file_found, supported, text)`` for due rows.
 
     A due row is claimed first; with a usable text it is done, with any other
     result it counts as a failed attempt. A claimed row without a result stays
-    claimed. Results for rows that are not due are left alone.
+    claimed. Results for rows that are not due are left alone. The changed rows are
+    all that are due.
     """
+    if changed_only:
+        invoices = invoices.where(is_due(now))
     rows = _joined(invoices, texts, _found="file_found", _supported="supported", _text="text")
     rows = rows.withColumn("_due", is_due(now)).withColumn("_failure", F.when(F.col("_hit"), text_error()))
     claimed = _set(rows, F.col("_due"), status=fv.OCR_PENDING, updated_at=at(now))
@@ -119,9 +130,9 @@ def apply_text(
     return failed.select(*invoices.columns)
 
 
-def apply_extraction(invoices: DataFrame, extracted: DataFrame, now: Moment) -> DataFrame:
+def apply_extraction(invoices: DataFrame, extracted: DataFrame, now: Moment, changed_only: bool = False) -> DataFrame:
     """``extracted(id, fields, confidence_status, error)``; an error is final at once."""
-    rows = _joined(invoices, extracted, _fields="fields", _confidence="confidence_status", _error="error")
+    rows = _joined(invoices, extracted, changed_only, _fields="fields", _confidence="confidence_status", _error="error")
     failed = F.col("_error").isNotNull()
     done = _set(
         rows, F.col("_hit") & ~failed,
@@ -135,9 +146,9 @@ def apply_extraction(invoices: DataFrame, extracted: DataFrame, now: Moment) ->
     ).select(*invoices.columns)
 
 
-def set_status(invoices: DataFrame, updates: DataFrame, now: Moment) -> DataFrame:
+def set_status(invoices: DataFrame, updates: DataFrame, now: Moment, changed_only: bool = False) -> DataFrame:
     """``updates(id, status, error)``; a missing error clears the old one."""
-    rows = _joined(invoices, updates, _status="status", _error="error")
+    rows = _joined(invoices, updates, changed_only, _status="status", _error="error")
     return _set(
         rows, F.col("_hit"),
         status=F.col("_status"), last_error=F.coalesce(F.col("_error"), F.lit("")), updated_at=at(now),

@@ -49,10 +49,11 @@ def prior_fields() -> Column:
     return F.to_json(F.struct(*[plain_value(f).alias(f) for f in WRAPPED_FIELDS]))
 
 
-def build_requests(queue: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text, prior_fields, validation_error, misread_hint) per escalated document.
+def build_requests(queue: DataFrame, docs: DataFrame, text_chars: int | None = fv.MODEL_TEXT_CHARS) -> DataFrame:
+    """(doc_id, text, text_cut, prior_fields, validation_error, misread_hint) per escalated document.
 
-    Only escalated ids meet the texts, and a text is cut before it travels.
+    Only escalated ids meet the texts, and a text is cut to ``text_chars`` before it
+    travels (None: whole); ``text_cut`` tells that something is missing.
     """
     asked = queue.where(F.col("escalation_reason").isNotNull()).select(
         "doc_id",
@@ -62,8 +63,12 @@ def build_requests(queue: DataFrame, docs: DataFrame) -> DataFrame:
             "misread_hint"
         ),
     )
-    cut = docs.select("doc_id", F.substring("text", 1, fv.MODEL_TEXT_CHARS).alias("text"))
-    return asked.join(cut, "doc_id")
+    if text_chars is None:
+        sent = docs.select("doc_id", "text", F.lit(False).alias("text_cut"))
+    else:
+        too_long = (F.length("text") > text_chars).alias("text_cut")
+        sent = docs.select("doc_id", F.substring("text", 1, text_chars).alias("text"), too_long)
+    return asked.join(sent, "doc_id")
 
 
 def _real_breaks(raw: Column) -> Column:
@@ -161,7 +166,8 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
 
     The primary model says "date" for the invoice date, gives tax as a bare amount
     (taken as sales tax) and discounts of either sign. The text must be exactly one
-    JSON object. An answer that names none of the known fields counts as empty.
+    JSON object. An answer that names none of the known fields counts as empty. What
+    other providers than the primary one say beyond the known fields is ``extra``.
     """
     keys = [*fv.FIELDS, "date", "vat"]
     schema = "array<struct<" + ",".join(f"{k}:string" for k in keys) + ">>"
@@ -177,6 +183,8 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
     tax = a("tax")
     tax_parts = F.from_json(F.when(tax.startswith("{"), tax), "amount string, type string")
     falsy_tax = (tax == "") | F.col("repaired").rlike(r'"tax"\s*:\s*(?:-?0+(?:\.0*)?|false)\s*[,}]')
+    every = F.from_json("repaired", "map<string,string>", strict)
+    other = F.map_filter(every, lambda k, v: ~k.isin(*fv.FIELDS, "vat") & v.isNotNull())
     known = F.when(primary, F.array(*[F.lit(k) for k in [*[f for f in fv.FIELDS if f != "invoice_date"], "date"]]))
     return parsed.select(
         "doc_id", "provider_rank",
@@ -193,6 +201,7 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
         a("total").alias("total"),
         a("currency").alias("currency"),
         F.when(~primary, a("vat")).alias("vat"),
+        F.when(~primary & (F.size(other) > 0), other).alias("extra"),
     )
 
 
@@ -209,8 +218,8 @@ def entities_to_fields(entities: DataFrame) -> DataFrame:
     wanted = {c: ("tax" if c == "tax_amount" else c) for c in ANSWER_COLUMNS if c not in ("discount", "tax_type")}
     found = named.groupBy("doc_id").agg(*[last(f).alias(c) for c, f in wanted.items()])
     null = F.lit(None).cast("string")
-    full = found.withColumns({"discount": null, "tax_type": null})
-    return full.select("doc_id", F.lit(ENTITY_RANK).alias("provider_rank"), F.lit(False).alias("is_empty"), *ANSWER_COLUMNS)
+    full = found.withColumns({"discount": null, "tax_type": null, "extra": F.lit(None).cast("map<string,string>")})
+    return full.select("doc_id", F.lit(ENTITY_RANK).alias("provider_rank"), F.lit(False).alias("is_empty"), *ANSWER_COLUMNS, "extra")
 
 
 def choose_provider(model_responses: DataFrame, parsed: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -227,14 +236,15 @@ def choose_provider(model_responses: DataFrame, parsed: DataFrame, entities: Dat
         asked = asked.unionByName(found.select("doc_id", "provider_rank"))
         answers = answers.unionByName(found)
     usable = answers.where((F.col("provider_rank") != PRIMARY_RANK) | ~F.col("is_empty"))
+    none = "struct<" + ",".join(f"{c}:string" for c in ANSWER_COLUMNS) + ",extra:map<string,string>>"
     candidate = asked.where(F.col("provider_rank") != PRIMARY_RANK).select(
-        "doc_id", "provider_rank", F.lit(None).cast("struct<" + ",".join(f"{c}:string" for c in ANSWER_COLUMNS) + ">").alias("answer")
-    ).unionByName(usable.select("doc_id", "provider_rank", F.struct(*ANSWER_COLUMNS).alias("answer")))
-    # the parsed row sorts behind the bare "asked" row of the same provider
+        "doc_id", "provider_rank", F.lit(None).cast(none).alias("answer")
+    ).unionByName(usable.select("doc_id", "provider_rank", F.struct(*ANSWER_COLUMNS, "extra").alias("answer")))
+    # an answer comes before the bare "asked" row of the same provider, the least by its text before others
     ranked = candidate.groupBy("doc_id").agg(
         F.min_by(
             F.struct("provider_rank", "answer"),
-            F.struct("provider_rank", F.col("answer").isNull()),
+            F.struct("provider_rank", F.col("answer").isNull(), F.to_json("answer")),
         ).alias("best")
     )
     return ranked.where(F.col("best.answer").isNotNull()).select("doc_id", "best.provider_rank", "best.answer.*")
@@ -243,7 +253,7 @@ def choose_provider(model_responses: DataFrame, parsed: DataFrame, entities: Dat
 def overlay_semantic(queue: DataFrame, chosen: DataFrame) -> DataFrame:
     """Wrapped ``fields`` with model values over lower ones, for escalated documents only.
 
-    Adds ``corrected``: a model value was applied to an invalid document. The record
+    ``fields.extra`` holds what a model said beyond the known fields. Adds ``corrected``: a model value was applied to an invalid document. The record
     is not validated again.
     """
     keep = [c for c in queue.columns if c not in PLAIN_FIELDS]
@@ -253,7 +263,7 @@ def overlay_semantic(queue: DataFrame, chosen: DataFrame) -> DataFrame:
     level = joined.select(
         *[F.col(f"q.{c}") for c in keep],
         *[F.col(f"q.{c}") for c in PLAIN_FIELDS],
-        *[F.col(f"m.{c}").alias(f"m_{c}") for c in ANSWER_COLUMNS],
+        *[F.col(f"m.{c}").alias(f"m_{c}") for c in [*ANSWER_COLUMNS, "extra"]],
     )
     valid = F.col("is_valid")
 
@@ -270,7 +280,7 @@ def overlay_semantic(queue: DataFrame, chosen: DataFrame) -> DataFrame:
         lower = wrap(plain_value(field))
         if field == "tax":
             answer = F.when(
-                F.col("m_tax_amount").isNotNull(),
+                F.col("m_tax_amount").isNotNull() | F.col("m_tax_type").isNotNull(),
                 F.struct(
                     F.col("m_tax_amount").alias("amount"), F.col("m_tax_type").alias("type"),
                     F.lit(None).cast("boolean").alias("inferred"),
@@ -282,9 +292,10 @@ def overlay_semantic(queue: DataFrame, chosen: DataFrame) -> DataFrame:
             return lower.alias(field)
         return F.coalesce(wrap(answer, confidence, note(field)), lower).alias(field)
 
-    any_value = F.coalesce(*[F.col(f"m_{c}") for c in ANSWER_COLUMNS]).isNotNull()
+    extra = F.transform_values("m_extra", lambda k, v: wrap(v, confidence, note("extra")))
+    any_value = F.coalesce(*[F.col(f"m_{c}") for c in ANSWER_COLUMNS]).isNotNull() | F.col("m_extra").isNotNull()
     return level.select(
         *keep,
-        F.struct(*[overlaid(f) for f in WRAPPED_FIELDS]).alias("fields"),
+        F.struct(*[overlaid(f) for f in WRAPPED_FIELDS], extra.alias("extra")).alias("fields"),
         (~valid & any_value).alias("corrected"),
     )

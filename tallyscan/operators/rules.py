@@ -133,7 +133,8 @@ def currency_inferred(text: str = "text", lower: str = "text_lower") -> Column:
     ]
     labelled = f"upper({when(has(lower, 'currency'), coalesce(labels))})"
 
-    five, letter, five_long = [matches(text, p) for p in fv.DOLLAR_INDICATORS]
+    plain = sql.plain_spaces(text)
+    five, letter, five_long = [matches(plain, p) for p in fv.DOLLAR_INDICATORS]
     indicator = (
         f"({has(text, '$')} or {has(text, 'S')} and {letter} or {has(text, '5')} and ({five} or {five_long}))"
     )

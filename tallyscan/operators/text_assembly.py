@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyscan.functions import is_blank, ordered_text, plain_spaces, strip
+from tallyscan.functions import ascii_digits, is_blank, ordered_text, plain_spaces, strip
 
 CHUNK_ROWS = 4096
+GLYPH_STEP = 64.0
 
 
 def line_key(top: Column) -> Column:
@@ -20,7 +21,7 @@ def choose_page_text(page_text: DataFrame) -> DataFrame:
     return (
         page_text.where(~is_blank(F.col("text")))
         .groupBy("doc_id", "engine_rank", "page")
-        .agg(F.min_by("text", "method_rank").alias("text"))
+        .agg(F.min_by("text", F.struct("method_rank", "text")).alias("text"))
     )
 
 
@@ -39,7 +40,7 @@ def choose_engine(page_text: DataFrame) -> DataFrame:
 def glyph_lines(glyphs: DataFrame) -> DataFrame:
     """(doc_id, page, y, line): glyphs of a line from left to right, blank lines dropped."""
     keyed = glyphs.where(F.col("text") != "").withColumn("y", line_key(F.col("top")))
-    chunk = F.struct(F.col("x0"), F.floor(F.col("seq") / CHUNK_ROWS))
+    chunk = F.floor(F.col("x0") / GLYPH_STEP)
     lines = ordered_text(keyed, ["doc_id", "page", "y"], ["x0", "seq"], "text", "", chunk, "line")
     return lines.where(~is_blank(F.col("line")))
 
@@ -83,5 +84,6 @@ def segments_to_document(ocr_segments: DataFrame) -> DataFrame:
 
 
 def normalise_text(docs: DataFrame) -> DataFrame:
-    """Adds the stripped text and a lower-case copy in which all white space is plain."""
-    return docs.withColumn("text", strip(F.col("text"))).withColumn("text_lower", F.lower(plain_spaces(F.col("text"))))
+    """Adds the stripped text, its digits as ASCII ones, and a lower-case copy in which all white space is plain."""
+    text = strip(ascii_digits(F.col("text")))
+    return docs.withColumn("text", text).withColumn("text_lower", F.lower(plain_spaces(F.col("text"))))

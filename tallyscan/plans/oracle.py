@@ -62,7 +62,7 @@ def title(s: str) -> str:
 def norm(source: str) -> str:
     text = strip("text")
     wide = q("[" + fv.WIDE_WHITESPACE + "]")
-    return f"select *, lower(regexp_replace(btext, {wide}, ' ', 'g')) as lower from (select * exclude (text), {text} as btext from {source}) n"
+    return f"select *, regexp_replace(btext, {wide}, ' ', 'g') as ptext, lower(regexp_replace(btext, {wide}, ' ', 'g')) as lower from (select * exclude (text), {text} as btext from {source}) n"
 
 
 def number_sql() -> str:
@@ -113,7 +113,7 @@ def currency_inferred_sql() -> str:
         steps.append(f"when {has('btext', p)} and {near} then 'USD'")
     for p in fv.CURRENCY_LABEL_PATTERNS:
         steps.append(f"when {has('lower', p)} then upper(regexp_extract(lower, {q(p)}, 1))")
-    indicator = "contains(btext, '$') or " + " or ".join(has("btext", p) for p in fv.DOLLAR_INDICATORS)
+    indicator = "contains(btext, '$') or " + " or ".join(has("ptext", p) for p in fv.DOLLAR_INDICATORS)
     words = " or ".join(f"contains(lower, '{w}')" for w in fv.INVOICE_KEYWORDS)
     for p in (r"[\d,]+\.\d{2}", r"\d+\.\d{2}"):
         near = f"{has('lower', before + '.*?' + p)} or {has('lower', p + '.*?' + after)} or {words}"
@@ -444,17 +444,18 @@ def _build() -> dict[str, str]:
         "case when validation_error is null then 'none' when starts_with(validation_error, 'Math validation failed') then 'Math validation failed' "
         "when contains(validation_error, 'is a table header') then 'Invoice number is a table header' else validation_error end"
     )
-    counts = ", ".join(f"cast(count({n}) as bigint) as n_{f}" for n, f in zip(names, fv.FIELDS))
+    counts = ", ".join(f"cast(count({f}) as bigint) as n_{f}" for f in fv.FIELDS)
+    total = amount("total")
+    month = "coalesce(substr(invoice_date, 1, 7), 'none')"
     report = " union all ".join(
-        f"select '{section}' as section, {key} as key, {month} as month, count(*) as documents, cast(cast(sum(total) as decimal(38,2)) as varchar) as total_amount, {counts} "
-        f"from plain_done {group}"
+        f"select '{section}' as section, {key} as key, {month} as month, count(*) as documents, cast(cast(sum({total}) as decimal(38,2)) as varchar) as total_amount, "
+        f"count(total) - count({total}) as n_unparsed_totals, {counts} from finished {group}"
         for section, key, month, group in (
             ("all", "'all'", "cast(null as varchar)", ""),
             ("status", "confidence_status", "cast(null as varchar)", "group by confidence_status"),
             ("reason", reason, "cast(null as varchar)", f"group by {reason}"),
             ("currency", "coalesce(currency, 'none')", "cast(null as varchar)", "group by coalesce(currency, 'none')"),
-            ("vendor_month", "coalesce(vendor_name, 'none')", "coalesce(strftime(invoice_date, '%Y-%m'), 'none')",
-             "group by coalesce(vendor_name, 'none'), coalesce(strftime(invoice_date, '%Y-%m'), 'none')"),
+            ("vendor_month", "coalesce(vendor_name, 'none')", month, f"group by coalesce(vendor_name, 'none'), {month}"),
         )
     )
     image_based = "(contains(last_error, 'PDF text extraction failed') or contains(lower(last_error), 'image-based'))"

@@ -476,7 +476,9 @@ def j5_scorecard(t: Tables) -> DataFrame:
 
 @query
 def j6_corpus_report(t: Tables) -> DataFrame:
-    return serving.corpus_report(_extracted(t)).withColumn("total_amount", F.col("total_amount").cast("string"))
+    """All levels, model answers included, rolled up by section."""
+    done = extract_documents(t.docs, t.words, t.table_rows, t.model_responses, t.entities, FULL)
+    return serving.corpus_report(done).withColumn("total_amount", F.col("total_amount").cast("string"))
 
 
 # --- K: streams ----------------------------------------------------------------------------------------------

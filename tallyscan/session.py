@@ -11,8 +11,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # ordered text is collected per line: many small groups, cheap to keep hashed
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
 

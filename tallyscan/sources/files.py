@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyscan import fixed_values as fv
@@ -22,13 +22,14 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def classify_files(files: DataFrame) -> DataFrame:
     """Adds ``kind`` (image, pdf or null) and ``supported``.
 
-    Needs ``path``, ``content_type`` and ``content`` (or only its first bytes as
-    ``head``). The image test comes first, by extension or MIME type. A name that
+    Needs ``path`` and ``content`` (or only its first bytes as ``head``); a
+    ``content_type`` helps where there is one. The image test comes first, by extension or MIME type. A name that
     starts with its only dot has no extension.
     """
     head = F.col("head") if "head" in files.columns else F.substring(F.col("content"), 1, 4)
     extension = F.lower(F.regexp_extract("path", r"[^./][^/]*\.([^./]*)$", 1))
-    mime = strip(F.split_part(F.lower("content_type"), F.lit(";"), F.lit(1)))
+    content_type = F.col("content_type") if "content_type" in files.columns else F.lit(None).cast("string")
+    mime = strip(F.split_part(F.lower(content_type), F.lit(";"), F.lit(1)))
     image = extension.isin(fv.IMAGE_EXTENSIONS) | F.coalesce(mime.isin(fv.IMAGE_MIME_TYPES), F.lit(False))
     kind = F.when(image, "image").when(head == F.lit(bytearray(fv.PDF_MAGIC.encode())), "pdf")
     return files.withColumn("kind", kind).withColumn("supported", F.col("kind").isNotNull())
@@ -46,10 +47,15 @@ def content_digest(files: DataFrame) -> DataFrame:
     })
 
 
+def plain_path(path: Column) -> Column:
+    """``file:/a/b`` and ``file:///a/b`` are ``/a/b``; other stores keep their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def check_sizes(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """(id, expected_length, stored_length) where a stored file is missing or differs in size."""
-    stored = files.select(F.col("path").alias("storage_path"), F.col("length").alias("stored_length"))
-    joined = manifest.select("id", "storage_path", "expected_length").join(stored, "storage_path", "left")
+    stored = files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("stored_length"))
+    joined = manifest.select("id", plain_path(F.col("storage_path")).alias("path"), "expected_length").join(stored, "path", "left")
     stored_length = F.coalesce("stored_length", F.lit(0))
     return joined.where(stored_length != F.col("expected_length")).select(
         "id", "expected_length", stored_length.alias("stored_length")

@@ -37,15 +37,15 @@ def _batch_path(root: str, batch_id: int) -> str:
 
 
 def _stored(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """All batches written so far; an empty table before the first one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table")
-    exists = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-    if not exists:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(-1))
+    """All batches written so far. An empty batch -1 is written first, so that there is always a table."""
     with_batch = StructType([*schema.fields, StructField("batch", IntegerType())])
     return spark.read.schema(with_batch).parquet(f"{root}/table")
 
 
+def _begin(spark: SparkSession, root: str, schema: StructType) -> None:
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(_batch_path(root, -1))
+
+
 def stream_ingest(attachments: DataFrame, root: str, now: Moment, watermark: str | None = None) -> DataFrame:
     """Stores each (message, digest) once, whatever the number of batches it comes in.
 
@@ -63,6 +63,7 @@ def stream_ingest(attachments: DataFrame, root: str, now: Moment, watermark: str
         fresh = dedupe_ingest(batch, earlier)
         initial_state(assign_storage_key(fresh), now).write.mode("overwrite").parquet(_batch_path(root, batch_id))
 
+    _begin(spark, root, empty)
     _run(digested, root, "append", store)
     return _stored(spark, root, empty).drop("batch")
 
@@ -88,6 +89,7 @@ def stream_latest_status(status_events: DataFrame, root: str) -> DataFrame:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(root, batch_id))
 
+    _begin(spark, root, latest.schema)
     _run(latest, root, "update", store)
     return lifecycle.latest_status(_stored(spark, root, latest.schema).drop("batch"))
 
@@ -102,17 +104,21 @@ def stream_retry(invoices: DataFrame, text_results: DataFrame, root: str, now: M
     spark = invoices.sparkSession
     columns = invoices.columns
 
-    def current(until: int) -> DataFrame:
+    def current(until: int, ids: DataFrame | None = None) -> DataFrame:
         changed = _stored(spark, root, invoices.schema).where(F.col("batch") < until)
+        base = invoices
+        if ids is not None:
+            changed, base = changed.join(ids, "id", "left_semi"), base.join(ids, "id", "left_semi")
         newest = changed.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
-        return invoices.join(newest.select("id"), "id", "left_anti").unionByName(newest)
+        return lifecycle.current_state(base, newest)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # one result per id: copies of a result are one attempt
         results = batch.groupBy("id").agg(F.max(F.struct("file_found", "supported", "text")).alias("r")).select("id", "r.*")
-        named = current(batch_id).join(results.select("id"), "id", "left_semi")
+        named = current(batch_id, results.select("id"))
         lifecycle.apply_text(named, results, now).write.mode("overwrite").parquet(_batch_path(root, batch_id))
 
+    _begin(spark, root, invoices.schema)
     _run(text_results, root, "append", store)
     return current(2**31 - 1)
 

@@ -92,3 +92,32 @@ def test_layout_tax_is_bare_and_shown(spark):
     assert shown["discount"] == ("Discount", "Not found", None, None)
     card = serving.scorecard(done).first()
     assert card.n_keys == 9 + 2 * (done.first().fields.reconciliation_status is not None)
+
+
+def test_nothing_a_model_says_is_lost(spark):
+    docs = spark.createDataFrame([(1, BAD, "pdf"), (2, BAD, "pdf"), (3, BAD, "pdf")], "doc_id long, text string, kind string")
+    answers = spark.createDataFrame(
+        [
+            (1, 2, '{"total": "$1,879.32", "invoice_date": "30 of June", "due_date": "2025-07-30", "terms": {"days": 30}}'),
+            (2, 2, '{"total": "n/a", "tax": {"type": "vat"}}'),
+            (3, 2, '{"total": "8"}'), (3, 2, '{"total": "5"}'), (3, 2, '{"total": "7"}'),
+        ], RAW,
+    )
+    done = extract_documents(docs, model_responses=answers, options=LLM)
+    rows = {r.doc_id: r for r in done.collect()}
+    extra = rows[1].fields.extra
+    assert extra["due_date"].value == "2025-07-30" and '"days":30' in extra["terms"].value and extra["terms"].confidence == 0.5
+    assert rows[2].fields.tax.value.type == "vat"
+    assert rows[3].fields.total.value == "5"  # the least of several answers of one provider
+    plain = {r.doc_id: r for r in merge.unwrap(done).collect()}
+    assert str(plain[1].total) == "1879.32" and plain[1].as_text == {"invoice_date": "30 of June"}
+    assert plain[2].total is None and plain[2].as_text["total"] == "n/a"
+    report = {(r.section, r.key): r for r in serving.corpus_report(done).collect()}
+    assert str(report["all", "all"].total_amount) == "1884.32" and report["all", "all"].n_unparsed_totals == 1
+
+
+def test_request_text(spark):
+    queue = responses.escalation_queue(plain_fields(spark.createDataFrame([(1, BAD, "pdf")], "doc_id long, text string, kind string")))
+    docs = spark.createDataFrame([(1, "x" * 5000)], "doc_id long, text string")
+    got = [responses.build_requests(queue, docs, n).first() for n in (4000, None)]
+    assert [(len(r.text), r.text_cut) for r in got] == [(4000, True), (5000, False)]

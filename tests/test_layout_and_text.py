@@ -91,3 +91,18 @@ def test_filter_does_not_repeat_patterns(spark):
     queue = escalation_queue(plain_fields(docs)).where(F.col("escalation_reason").isNotNull())
     plan = queue._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("grand\\s+total") <= 2  # the two grand-total patterns, once each
+
+
+def test_hot_document_is_dealt_behind_a_join(spark):
+    """An exchange on line and chunk stands above a sort-merge semi join that lies by document."""
+    from tallyscan.operators.layout import layout_scope, lines_from_words
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = spark.createDataFrame([(i % 3, 0, 0.0, i, "w") for i in range(50)], "doc_id long, page int, top double, word_idx int, text string")
+        docs = spark.createDataFrame([(i, "pdf") for i in range(3)], "doc_id long, kind string")
+        plan = lines_from_words(layout_scope(words, docs))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    chunk = plan.index("REPARTITION_BY_COL")
+    assert "chunk" in plan[plan.rindex("Exchange", 0, chunk) : chunk] and plan.index("SortMergeJoin") > chunk

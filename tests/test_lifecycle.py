@@ -102,3 +102,26 @@ def test_late_events_do_not_turn_status_back(spark, tmp_path):
     got = stream.stream_latest_status(source, str(tmp_path / "o"))
     want = sorted(map(str, lifecycle.latest_status(df).collect()))
     assert sorted(map(str, got.collect())) == want and len(want) == 2
+
+
+def test_several_changes_of_one_row(spark):
+    from tallyscan.operators import lifecycle
+
+    invoices = spark.createDataFrame([("a", "RECEIVED", ""), ("b", "RECEIVED", "")], "id string, status string, last_error string")
+    invoices = invoices.selectExpr("*", "timestamp'1997-01-01' as updated_at")
+    updates = spark.createDataFrame([("a", "X", None), ("a", "Y", "why"), ("a", "Y", "no")], "id string, status string, error string")
+    whole = lifecycle.set_status(invoices, updates, "1997-06-01 00:00:00")
+    changed = lifecycle.set_status(invoices, updates, "1997-06-01 00:00:00", changed_only=True)
+    assert [(r.id, r.status, r.last_error) for r in changed.collect()] == [("a", "Y", "why")]
+    assert sorted(map(tuple, lifecycle.current_state(invoices, changed).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_scanned_files_fit(spark, tmp_path):
+    from tallyscan.sources import check_sizes, classify_files, content_digest, scan_files
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "b.PNG").write_bytes(b"xx")
+    files = content_digest(classify_files(scan_files(spark, str(tmp_path))))
+    assert {r.path.rsplit("/", 1)[1]: (r.kind, r.length) for r in files.collect()} == {"a.pdf": ("pdf", 6), "b.PNG": ("image", 2)}
+    manifest = spark.createDataFrame([("1", f"{tmp_path}/a.pdf", 6), ("2", f"{tmp_path}/b.PNG", 3), ("3", f"{tmp_path}/c", 1)], "id string, storage_path string, expected_length long")
+    assert sorted((r.id, r.stored_length) for r in check_sizes(manifest, files).collect()) == [("2", 2), ("3", 0)]

@@ -132,3 +132,13 @@ def test_header_word_exclusivity_and_idempotence(spark):
     assert (one.discount, one.tax_amount, one.tax_type) == (None, None, None)
     once = reconcile_amounts(df.where("doc_id <> 2"))
     assert sorted(map(str, reconcile_amounts(once).collect())) == sorted(map(str, once.collect()))
+
+
+def test_wide_spaces_and_other_digits(spark):
+    from tallyscan.operators.rules import rule_fields
+
+    texts = ["Invoice\n5\u00a0100.00", "Total: $１２.３４", "Total: $٤٥.٠٠ and 5 300.00"]
+    df = spark.createDataFrame([(i, t, "pdf") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    got = {r.doc_id: r for r in rule_fields(df).collect()}
+    assert got[0].currency == "USD"
+    assert str(got[1].total) == "12.34" and str(got[2].total) == "45.00"
