@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ GENERATOR = 0b110001110101
 SEGMENTS = (22, 21, 21)
 SHINGLE = 3
 SEED = 42
+SEEDS = (42, 43, 44)
 DISTANCE = 3
+FEW = 32
 
 
 def _remainder(word: int) -> int:
@@ -172,14 +175,138 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, all columns kept.
+def _word_prints(seeds: tuple[int, ...]):
+    """(node, prints, packed): fingerprints of the shingles and, under each seed, of the set of words, and the packed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            lists, packed = [], []
+            for text in batch.column("bytes"):
+                whole = text.as_py()
+                words = sorted(set(whole.lower().split()))
+                own = np.array([fingerprint(whole)], np.uint64).view(np.int64)[0]
+                lists.append([int(own), *(_majority(words, seed) for seed in seeds)])
+                packed.append(pack.compress(text.as_buffer()))
+            columns = [batch.column("node"), pa.array(lists, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "prints", "packed"])
+
+    return run
+
+
+def _majority(features: list[bytes], seed: int) -> int:
+    if not features:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), "<u8", len(features))
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
+
+
+def _expand_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    golay = Golay()
+    for batch in batches:
+        nodes = batch.column("node").to_numpy()
+        prints = np.asarray(batch.column("prints").flatten()).reshape(len(nodes), -1)
+        for seed in range(prints.shape[1]):
+            for at in range(0, len(nodes), 4096):
+                part = np.ascontiguousarray(prints[at : at + 4096, seed])
+                rows, keys, leads = _keys(part.view(np.uint64), golay)
+                columns = [pa.array(keys | seed << 40), pa.array(part[rows]), pa.array(nodes[at : at + 4096][rows]), pa.array(leads)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "node", "leads"])
+
+
+def _candidates(few: int):
+    """(a, b): near pairs of each group; in a large one, each row with the centre it is near to.
+
+    Centres are the rows with the most near rows among those that have no centre yet.
+    """
+
+    def run(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        nodes, bits = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
+        left, right = [np.empty(0, int)], [np.empty(0, int)]
+        for a, b in pairs_in_groups(group):
+            near = np.bitwise_count(bits[a] ^ bits[b]) <= DISTANCE
+            left.append(a[near])
+            right.append(b[near])
+        left, right = np.concatenate(left), np.concatenate(right)
+        large = np.bincount(group)[group[left]] > few
+        kept = [np.column_stack([left[~large], right[~large]])]
+        if large.any():
+            kept.append(_stars(left[large], right[large], len(nodes)))
+        pairs = nodes[np.concatenate(kept)]
+        pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    pairs = np.concatenate([np.column_stack([left, right]), np.column_stack([right, left])])
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    begin = np.searchsorted(pairs[:, 0], np.arange(n + 1))
+    free = np.ones(n, bool)
+    out = [np.empty((0, 2), int)]
+    for centre in np.argsort(-(begin[1:] - begin[:-1]), kind="stable").tolist():
+        around = pairs[begin[centre] : begin[centre + 1], 1]
+        if free[centre] and len(around):
+            out.append(np.column_stack([np.full(len(around), centre), around]))
+            free[centre] = False
+            free[around] = False
+    return np.concatenate(out)
+
+
+def _similar(shingle: int, similarity: float):
+    def shingles(text: bytes) -> set[bytes]:
+        words = text.lower().split()
+        return {b" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            good = []
+            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist()):
+                x, y = shingles(unpack.decompress(one)), shingles(unpack.decompress(other))
+                good.append(len(x & y) >= similarity * len(x | y))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS,
+    shingle: int = 5, similarity: float = 0.8, few: int = FEW,
+) -> DataFrame:
+    """(node, id, component_id): groups of documents with a Jaccard similarity of ``similarity`` over word shingles.
+
+    Fingerprints of shingles alone differ in too many bits at such a similarity, so candidates
+    come from the set of words too, under several seeds: linked in the same way by codewords,
+    then compared on the shingles of the whole texts. Equal texts are one node. Null
+    is taken as empty, all texts without words are one group, and a text of fewer words is one shingle. A row without an id names no component.
+    """
+    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("bytes")).withColumn("node", F.xxhash64("bytes"))
+    ids = rows.select("node", "id")
+    distinct = rows.groupBy("node").agg(F.first("bytes").alias("bytes"))
+    prints = stored(distinct.mapInArrow(_word_prints(seeds), "node bigint, prints array<bigint>, packed binary"), "simhash-words")
+    keyed = prints.select("node", "prints").mapInArrow(_expand_nodes, "key bigint, fp bigint, node bigint, leads boolean")
+    dealt = blocks(keyed, "key", F.xxhash64("node"), BLOCK, "leads").select("key", "_i", "_j", "fp", "node")
+    pairs = stored(by_group(dealt, ["key", "_i", "_j"], _candidates(few), "a bigint, b bigint").distinct(), "simhash-pairs")
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(prints.select("node", "packed"), "node")
+    both = sides.groupBy("a", "b").agg(F.min("packed").alias("one"), F.max("packed").alias("other"))
+    found = components(both.mapInArrow(_similar(shingle, similarity), "a bigint, b bigint"), name="simhash-near")
+    rooted = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.join(first, "root").select("node", "id", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, all columns kept.
 
     Rows that share an id stay or go together, except that of exact repeats (id and text) one
     stays. Rows without an id stay, as nothing tells them apart.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    groups = near_duplicates(docs, id_col, text_col, few=few)
+    kept = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
     rows = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(docs.columns)
     rows = rows.withColumn("_text_digest", F.md5(text_col)).dropDuplicates([id_col, "_text_digest"]).drop("_text_digest")
     return rows.union(docs.where(F.col(id_col).isNull()))

@@ -61,8 +61,7 @@ def test_planted_bit_errors(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, fp int, root int")
     assert sorted(map(tuple, simhash_groups(df).collect()), key=str) == brute(rows)
     kept = [r.doc_id for r in one_of_each_group(df).collect()]
-    assert sorted(i for i in kept if i is not None) == sorted({c for _, _, c in brute(rows) if c is not None})
-    assert kept.count(None) == 2
+    assert sorted(i for i in kept if i is not None) == [-5, 0, 100, 103, 104, 105] and kept.count(None) == 2
 
 
 @pytest.mark.parametrize("size", [4, 50])
@@ -111,3 +110,30 @@ def test_keys_meet_for_every_pattern_of_three_bits():
             for i, k, lead in zip(at.tolist(), keys.tolist(), leads.tolist()):
                 sides[-1][i][k] = lead
         assert all(any(a[k] or b[k] for k in a.keys() & b.keys()) for a, b in zip(*sides))
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_near_copies(spark, few):
+    """Copies with a few words changed go, in a small and a large group; texts of the same words in another order stay."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 5000}"
+    rows, groups = [], []
+    for group in range(12):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        first = len(rows)
+        for copy in range(60 if group == 0 else rng.randint(1, 4)):
+            words = base[:]
+            for _ in range(min(copy, 1)):
+                words[rng.randrange(len(words))] = f"changed{copy}"
+            rows.append((len(rows), " ".join(words)))
+        groups.append(range(first, len(rows)))
+        shuffled = base[:]
+        rng.shuffle(shuffled)
+        rows.append((len(rows), " ".join(shuffled)))
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, node int, a int")
+    kept = {r.doc_id for r in one_of_each_group(df, few=few).collect()}
+    alone = set(range(len(rows))) - {i for g in groups for i in g}
+    assert alone <= kept and {g[0] for g in groups} <= kept
+    assert len(kept) - len(alone) - len(groups) <= 2
