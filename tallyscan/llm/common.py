@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,25 @@ from tallyscan.session import scratch_root
 BLOCK = 1024
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once per application: their Python must import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).parents[1]
+        target = Path(tempfile.mkdtemp(prefix="tallyscan-code-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; every registered query starts here."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

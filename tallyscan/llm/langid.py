@@ -105,7 +105,7 @@ def fit(
     lang_col: str = "lang",
     per_language: int = 400,
     centroids: int = 3,
-    reject: float = 0.5,
+    reject: float = 0.3,
     dimensions: int = DIMENSIONS,
 ) -> Model:
     """Fits centroids on at most ``per_language`` labelled rows of each language.
