@@ -19,6 +19,7 @@ from tallyscan.llm.common import stored, table
 
 WINDOW = 13
 SHINGLE = 5
+PIECE = 256
 BROADCAST_ROWS = 1_000_000  # shingles of eight bytes
 # ASCII characters that no word has.
 SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
@@ -59,21 +60,46 @@ def _occurrences(rows: DataFrame, shingles: DataFrame, sizes: list[int], window:
     """(id, digest, n, at, h, first, near): where a benchmark shingle occurs, with the words around it.
 
     ``near`` are the words from position ``first`` on that any window over this place can have.
+    Documents are cut into overlapping pieces first, so that no row holds more than a piece. A small
+    set of shingles is broadcast; otherwise bare places are shuffled and meet their document again.
     """
-    each = [F.get("words", F.col("at") + i) for i in range(max(sizes))]
-    rows = rows.select("id", "digest", "words", F.posexplode("words").alias("at", "_word")).drop("_word")
-    fits = [F.when(F.col("at") + k <= F.size("words"), _shingle_hash(k, each)) for k in sizes]
+    margin = window - 1
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(
+        starts,
+        lambda s: F.struct(
+            s.alias("from"), F.greatest(s - margin, F.lit(0)).alias("base"),
+            F.slice("words", F.greatest(s - margin, F.lit(0)) + 1, F.lit(PIECE + 2 * margin)).alias("words"),
+        ),
+    )
+    cut = rows.where(F.size("words") > 0).select("id", "digest", F.size("words").alias("n"), F.explode(pieces).alias("p"))
+    cut = cut.select("id", "digest", "n", "p.from", "p.base", F.col("p.words").alias("part"))
+    last = F.least(F.col("from") + PIECE, F.col("n")) - 1
+    placed = cut.select("*", F.explode(F.sequence(F.col("from"), last)).alias("at"))
+    each = [F.get("part", F.col("at") - F.col("base") + i) for i in range(max(sizes))]
+    fits = [F.when(F.col("at") + k <= F.col("n"), _shingle_hash(k, each)) for k in sizes]
     if len(sizes) == 1:
-        rows = rows.withColumn("h", fits[0]).where("h is not null")
+        placed = placed.withColumn("h", fits[0]).where("h is not null")
     else:
-        rows = rows.withColumn("h", F.explode(F.filter(F.array(*fits), lambda h: h.isNotNull())))
+        placed = placed.withColumn("h", F.explode(F.filter(F.array(*fits), lambda h: h.isNotNull())))
     wanted = shingles.select("h").distinct()
-    rows = rows.join(F.broadcast(wanted) if small else wanted, "h", "left_semi")
-    first = F.greatest(F.lit(0), F.col("at") - window + 1)
-    return rows.select(
-        "id", "digest", F.size("words").alias("n"), "at", "h", first.alias("first"),
-        F.slice("words", first + 1, 2 * window - 1).alias("near"),
+    first = F.greatest(F.lit(0), F.col("at") - margin)
+    if small:
+        found = placed.join(F.broadcast(wanted), "h", "left_semi")
+        near = F.slice("part", first - F.col("base") + 1, F.lit(2 * window - 1))
+        return found.select("id", "digest", "n", "at", "h", first.alias("first"), near.alias("near"))
+    bare = placed.select("id", "digest", "at", "h").join(wanted, "h", "left_semi")
+    of_document = bare.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set(F.struct("at", "h")).alias("places"))
+    key = F.col("id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest"))
+    again = rows.dropDuplicates(["id", "digest"]).join(of_document, key)
+    near = F.transform(
+        "places",
+        lambda q: F.struct(
+            q["at"].alias("at"), q["h"].alias("h"), F.greatest(F.lit(0), q["at"] - margin).alias("first"),
+            F.slice("words", F.greatest(F.lit(0), q["at"] - margin) + 1, F.lit(2 * window - 1)).alias("near"),
+        ),
     )
+    return again.select("id", "digest", F.size("words").alias("n"), F.inline(near))
 
 
 def window_hits(rows: DataFrame, windows: DataFrame, window: int, shingle: int) -> DataFrame:
