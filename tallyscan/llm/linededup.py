@@ -123,7 +123,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that is left; documents of which nothing is left are dropped."""
-    done = without_repeats(docs, id_col, text_col).where("_removed = 0 or _kept rlike '[^ \\t\\r\\n\\f\\x0B]'")
+    done = without_repeats(docs, id_col, text_col).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^ \t\r\n\f\x0B]"))
     columns = [F.col("_kept").alias(c) if c == text_col else
                F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*columns)

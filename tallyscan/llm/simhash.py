@@ -1,17 +1,18 @@
 """SimHash near-duplicates by fuzzy hashing with the binary Golay code.
 
-Two 64-bit fingerprints link at three or fewer differing bits. They are cut into three segments.
+Two 64-bit fingerprints link at three or fewer differing bits. They are cut into four segments.
 A segment, padded to 23 bits, is decoded to the codewords of the perfect Golay [23, 12, 7] code at
 distance four or less (one to six of them): of two segments that differ in at most one bit, the
-codeword nearest to the one is among those of the other. By the pigeonhole principle either all
-three segments differ in one bit each, or one is equal and another differs in at most one bit. So
-keys are three codewords, one or two of them varied, or an equal segment with a codeword of another
-one. Rows that share a key which is a nearest one for either of them are compared exactly.
+codeword nearest to the one is among those of the other. By the pigeonhole principle either two
+segments are equal, or one is equal and the others differ in one bit each. So keys are two equal
+segments, or one equal segment with a codeword of the next. Rows that share a key which is a
+nearest one for either of them are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from tallyscan.llm.common import BLOCK, blocks, by_group, components, pairs_in_g
 
 # Generator of the Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1), widths of the segments.
 GENERATOR = 0b110001110101
-SEGMENTS = (22, 21, 21)
+SEGMENTS = (16, 16, 16, 16)
 SHINGLE = 3
 SEED = 42
 SEEDS = (42, 43, 44)
@@ -110,14 +111,14 @@ def _keys(prints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray, np.
         keys.append(key[used])
         leads.append(np.broadcast_to(lead, used.shape)[used])
 
-    # one bit in each segment: one side varies the first codeword, the other side the other two
-    add(near[0] << 24 | (own[1] << 12 | own[2])[:, None], near[0] >= 0, np.array(True))
-    left, right = near[1][:, :, None], near[2][:, None, :]
-    both_own = (left == own[1][:, None, None]) & (right == own[2][:, None, None])
-    add(own[0][:, None, None] << 24 | left << 12 | right, (left >= 0) & (right >= 0) & ~both_own, np.array(False))
-    # an equal segment and one with at most one bit
-    for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)), 1):
+    kind = 0
+    for i, j in combinations(range(len(SEGMENTS)), 2):
+        add((kind << 36 | words[i] << 16 | words[j])[:, None], np.ones((len(prints), 1), bool), np.array(True))
+        kind += 1
+    for i in range(len(SEGMENTS)):
+        j = (i + 1) % len(SEGMENTS)
         add(kind << 36 | words[i][:, None] << 12 | near[j], near[j] >= 0, near[j] == own[j][:, None])
+        kind += 1
     return np.concatenate(at), np.concatenate(keys), np.concatenate(leads)
 
 
@@ -286,8 +287,9 @@ def near_duplicates(
     text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("bytes")).withColumn("node", F.xxhash64("bytes"))
     ids = rows.select("node", "id")
-    distinct = rows.groupBy("node").agg(F.first("bytes").alias("bytes"))
-    prints = stored(distinct.mapInArrow(_word_prints(seeds), "node bigint, prints array<bigint>, packed binary"), "simhash-words")
+    prints = rows.select("node", "bytes").mapInArrow(_word_prints(seeds), "node bigint, prints array<bigint>, packed binary")
+    distinct = prints.groupBy("node").agg(F.first("prints").alias("prints"), F.first("packed").alias("packed"))
+    prints = stored(distinct, "simhash-words")
     keyed = prints.select("node", "prints").mapInArrow(_expand_nodes, "key bigint, fp bigint, node bigint, leads boolean")
     dealt = blocks(keyed, "key", F.xxhash64("node"), BLOCK, "leads").select("key", "_i", "_j", "fp", "node")
     pairs = stored(by_group(dealt, ["key", "_i", "_j"], _candidates(few), "a bigint, b bigint").distinct(), "simhash-pairs")
