@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,6 +116,17 @@ def by_group(
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int | str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes in a column, a row at least: bounds what a task holds."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _changes(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
     change = np.zeros(max(rows.num_rows - 1, 0), bool)
     for key in keys:
