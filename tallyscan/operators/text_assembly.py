@@ -9,6 +9,7 @@ from tallyscan.functions import ascii_digits, is_blank, ordered_text, plain_spac
 
 CHUNK_ROWS = 4096
 GLYPH_STEP = 64.0
+TABLE_TRY, GLYPH_TRY = 4, 5
 
 
 def line_key(top: Column) -> Column:
@@ -83,6 +84,36 @@ def segments_to_document(ocr_segments: DataFrame) -> DataFrame:
     return joined.withColumn("text", strip(F.col("text"))).where(F.col("text") != "")
 
 
+def page_tries(
+    page_text: DataFrame, table_rows: DataFrame | None = None, glyphs: DataFrame | None = None, engine_rank: int = 1
+) -> DataFrame:
+    """(doc_id, page, engine_rank, method_rank, text): all tries of each page.
+
+    Texts as the reader gave them come first; the table rows of a page are the fourth
+    try of the engine, its single characters the fifth.
+    """
+    columns = ["doc_id", "page", "engine_rank", "method_rank", "text"]
+    tries = page_text.select(*columns)
+    for parts, method, make in ((table_rows, TABLE_TRY, table_to_text), (glyphs, GLYPH_TRY, lines_from_glyphs)):
+        if parts is not None:
+            ranks = {"engine_rank": F.lit(engine_rank), "method_rank": F.lit(method)}
+            tries = tries.unionByName(make(parts).withColumns(ranks).select(*columns))
+    return tries
+
+
+def documents_from_parts(files: DataFrame, tries: DataFrame, ocr_segments: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, text) for ``files(doc_id, kind)``: pages of a PDF, detections of an image.
+
+    A file of no known kind, or one in which no text was found, has a null text. Kinds
+    join finished texts, one row per document.
+    """
+    pages = pages_to_document(choose_engine(choose_page_text(tries))).select("doc_id", F.lit("pdf").alias("kind"), "text")
+    if ocr_segments is not None:
+        images = choose_engine(segments_to_document(ocr_segments))
+        pages = pages.unionByName(images.select("doc_id", F.lit("image").alias("kind"), "text"))
+    return files.select("doc_id", "kind").join(pages, ["doc_id", "kind"], "left")
+
+
 def normalise_text(docs: DataFrame) -> DataFrame:
     """Adds the stripped text, its digits as ASCII ones, and a lower-case copy in which all white space is plain."""
     text = strip(ascii_digits(F.col("text")))

@@ -422,6 +422,13 @@ def _stored_files(d) -> str:
       from manifest where o_orderkey % 31 <> 4"""
 
 
+def _part_files(d) -> str:
+    """A file for each document that any parts were read from; every third one an image, every tenth of no known kind."""
+    return """
+      select doc_id, case when doc_id % 10 = 9 then null when doc_id % 3 = 0 then 'image' else 'pdf' end as kind
+      from (select doc_id from page_text union select doc_id from glyphs union select doc_id from ocr_segments) f"""
+
+
 TABLES = {
     "cents": _cents, "truth": _truth, "docs": _docs, "doc_lines": _doc_lines, "table_rows": _table_rows,
     "words": _words, "glyphs": _glyphs, "page_text": _page_text, "ocr_segments": _ocr_segments,
@@ -432,6 +439,7 @@ TABLES = {
     "amount_texts": _amount_texts, "date_texts": _date_texts, "currency_texts": _currency_texts,
     "misread_docs": _misread_docs, "padded_documents": _padded_documents, "corpus": _corpus,
     "amount_fields": _amount_fields, "manifest": _manifest, "stored_files": _stored_files,
+    "part_files": _part_files,
 }
 
 

@@ -576,6 +576,22 @@ def _build() -> dict[str, str]:
         "k3_latest_status": latest,
         "k3_stream_latest_status": latest,
     }
+    q_["l1_text_stage"] = f"""
+        select f.doc_id, f.kind, p.text from part_files f left join (
+            select doc_id, 'pdf' as kind, string_agg({strip('text')}, chr(10) || chr(10) order by page) as text from (
+              select * from (
+                select doc_id, page, engine_rank, text from (
+                  select doc_id, page::bigint as page, engine_rank, method_rank, text from page_text where engine_rank = 2 or method_rank < 4
+                  union all select doc_id, page, 1, 4, text from ({q_['b4_table_to_text']}) b4
+                  union all select doc_id, page, 1, 5, text from ({q_['b3_lines_from_glyphs']}) b3) tries
+                where not ({blank('text')}) qualify row_number() over (partition by doc_id, engine_rank, page order by method_rank, text) = 1) c
+              qualify engine_rank = min(engine_rank) over (partition by doc_id)) e
+            group by doc_id
+          union all select doc_id, 'image', text from ({q_['b6_segments_to_document']}) b6) p on p.doc_id = f.doc_id and p.kind = f.kind"""
+    q_["l2_stored_fields"] = """
+        select i.id, 'success' as result, f.confidence_status, f.total, f.currency, f.vendor_name_note as vendor_note, f.tax_type
+        from invoices i join finished f on f.doc_id = i.o_orderkey
+        where i.status = 'OCR_DONE' and i.ocr_text is not null and i.extracted_fields is null"""
     # a stream touches only rows a result names, so nothing is left claimed without one
     named = text_done.replace("from text_state", "from (select * replace (due and hit as due) from text_state)")
     q_["k4_stream_retry"] = f"{_STATE} ({failed(f'({named})', '(due and failure is not null)', 'failure')}) x"

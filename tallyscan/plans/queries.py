@@ -522,3 +522,29 @@ def k4_stream_retry(t: Tables) -> DataFrame:
     results = stream.text_results_from_orders(source)
     root = f"{scratch_root(t.spark)}/k4-{uuid.uuid4().hex}"
     return flat_state(stream.stream_retry(t.invoices.drop("o_orderkey"), results, root, NOW))
+
+
+# --- L: whole jobs -------------------------------------------------------------------------------------------
+
+
+@query
+def l1_text_stage(t: Tables) -> DataFrame:
+    """Pages, table rows, characters and detections to one text per file."""
+    given = t.page_text.where("engine_rank = 2 or method_rank < 4")
+    tries = ta.page_tries(given, t.table_rows, t.glyphs)
+    return ta.documents_from_parts(t.part_files, tries, t.ocr_segments).select("doc_id", "kind", "text")
+
+
+@query
+def l2_stored_fields(t: Tables) -> DataFrame:
+    """Extraction of every level for the rows that wait for it, stored as JSON, as a client reads it."""
+    waiting = lifecycle.due_for_extraction(t.invoices)
+    done = extract_documents(t.docs, t.words, t.table_rows, t.model_responses, t.entities, FULL)
+    named = done.join(waiting.select("id", F.col("o_orderkey").alias("doc_id")), "doc_id")
+    stored = lifecycle.apply_extraction(waiting, merge.fields_to_json(named, "id"), NOW, changed_only=True)
+    read = serving.client_result(stored)
+    value = lambda path: F.get_json_object("extracted_fields", f"$.{path}")
+    return read.select(
+        "id", "result", "confidence_status", value("total.value").alias("total"), value("currency.value").alias("currency"),
+        value("vendor_name.notes").alias("vendor_note"), value("tax.value.type").alias("tax_type"),
+    )

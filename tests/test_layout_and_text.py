@@ -106,3 +106,19 @@ def test_hot_document_is_dealt_behind_a_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     chunk = plan.index("REPARTITION_BY_COL")
     assert "chunk" in plan[plan.rindex("Exchange", 0, chunk) : chunk] and plan.index("SortMergeJoin") > chunk
+
+
+def test_text_of_a_file_from_all_its_parts(spark):
+    from tallyscan.operators import text_assembly as ta
+
+    page_text = spark.createDataFrame([(1, 0, 1, 1, " "), (1, 1, 1, 1, "second"), (4, 0, 2, 1, "other engine")], "doc_id long, page int, engine_rank int, method_rank int, text string")
+    rows = spark.createDataFrame([(1, 0, 0, 0, ["a", None, "b"]), (2, 0, 0, 0, [])], "doc_id long, page int, table_idx int, row_idx int, cells array<string>")
+    glyphs = spark.createDataFrame(
+        [(1, 0, i, c, 0.0, float(i)) for i, c in enumerate("no")] + [(2, 0, i, c, 0.0, 100.0 - i) for i, c in enumerate("yes")],
+        "doc_id long, page int, seq int, text string, top double, x0 double",
+    )
+    segments = spark.createDataFrame([(3, 1, 0, " one "), (3, 1, 1, "two"), (1, 1, 0, "not a picture")], "doc_id long, engine_rank int, seg_idx int, text string")
+    files = spark.createDataFrame([(1, "pdf"), (2, "pdf"), (3, "image"), (4, "pdf"), (5, "pdf"), (6, None)], "doc_id long, kind string")
+    done = ta.documents_from_parts(files, ta.page_tries(page_text, rows, glyphs), segments)
+    got = {r.doc_id: r.text for r in done.collect()}
+    assert got == {1: "a |  | b\n\nsecond", 2: "sey", 3: "one \ntwo", 4: "other engine", 5: None, 6: None}
