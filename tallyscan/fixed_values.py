@@ -187,3 +187,17 @@ WHITESPACE = "".join(
 )
 # the part of it that \s of a Java pattern does not match
 WIDE_WHITESPACE = "".join(c for c in WHITESPACE if c not in "\t\n\x0b\x0c\r ")
+
+# --- fixed values: repairs of a model answer, in the order they are made: pattern, replacement ---
+ANSWER_REPAIRS = [
+    (r',?\s*""\s*:\s*"[^"]*"', ""),
+    (r',?\s*""\s*:\s*[^,}\]]+', ""),
+    (r',\s*""\s*}', "}"),
+    (r'\s*""\s*}', "}"),
+    (r',\s*""\s*,', ","),
+    (r',\s*""\s*([,}])', "$1"),
+    (r",(\s*[}\]])", "$1"),
+    (r":\s*'([^']*)'", ': "$1"'),
+    (r'"([^"]*)\n([^"]*)"', r'"$1\\n$2"'),
+    (r"[\x00-\x1f\x7f-\x9f]", ""),
+]

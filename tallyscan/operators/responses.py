@@ -104,18 +104,7 @@ def _outer_object(text: Column) -> Column:
 
 def _common_slips(text: Column) -> Column:
     """Empty keys, trailing commas, single quotes, broken lines, control characters."""
-    for pattern, repl in (
-        (r',?\s*""\s*:\s*"[^"]*"', ""),
-        (r',?\s*""\s*:\s*[^,}\]]+', ""),
-        (r',\s*""\s*}', "}"),
-        (r'\s*""\s*}', "}"),
-        (r',\s*""\s*,', ","),
-        (r',\s*""\s*([,}])', "$1"),
-        (r",(\s*[}\]])", "$1"),
-        (r":\s*'([^']*)'", ': "$1"'),
-        (r'"([^"]*)\n([^"]*)"', r'"$1\\n$2"'),
-        (r"[\x00-\x1f\x7f-\x9f]", ""),
-    ):
+    for pattern, repl in fv.ANSWER_REPAIRS:
         text = F.regexp_replace(text, pattern, repl)
     return text
 
