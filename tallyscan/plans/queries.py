@@ -381,9 +381,9 @@ def h3_unwrap(t: Tables) -> DataFrame:
 @query
 def h4_confidence_status(t: Tables) -> DataFrame:
     """Status of every document with model answers off and on."""
-    off = extract_documents(t.docs, t.words, t.table_rows).select("doc_id", F.col("confidence_status").alias("without_model"))
-    on = extract_documents(t.docs, t.words, t.table_rows, t.model_responses, t.entities, FULL)
-    return off.join(on.select("doc_id", F.col("confidence_status").alias("with_model")), "doc_id")
+    done = extract_documents(t.docs, t.words, t.table_rows, t.model_responses, t.entities, FULL)
+    alone = merge.confidence_status(False, F.lit(False), F.lit(False))
+    return done.select("doc_id", alone.alias("without_model"), F.col("confidence_status").alias("with_model"))
 
 
 @query
