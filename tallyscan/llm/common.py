@@ -58,7 +58,9 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads: str | None = None) -> DataFrame:
+def blocks(
+    rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads: str | None = None, apart: bool = False
+) -> DataFrame:
     """Rows of keys that more than one row has, dealt to pairs of blocks ``(key, _i, _j)``.
 
     ``_b`` is the block of the row and ``_of`` the number of blocks of its key.
@@ -67,6 +69,8 @@ def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads:
     pair of its blocks becomes a task of its own, so any two rows of a key meet somewhere and no
     task holds more than about two blocks. Nothing is left out at any group size. With ``leads`` (a
     flag) only pairs with a leading row matter: rows that have no such partner are left out.
+    With ``apart`` groups of one block don't pass the step that deals large ones; it suits short
+    rows, as the counting is done for both kinds.
     """
     all_of_key = Window.partitionBy(key)
     counted = rows.withColumn("_n", F.count(F.lit(1)).over(all_of_key))
@@ -75,15 +79,22 @@ def blocks(rows: DataFrame, key: str, spread: Column, size: int = BLOCK, leads:
         counted = counted.withColumn("_leaders", others).where(f"_n > 1 and ({leads} or _leaders > 0)")
     else:
         counted = counted.where("_n > 1")
+    if apart:
+        zero = F.lit(0)
+        few = counted.where(F.col("_n") <= size).select(
+            *rows.columns, zero.alias("_b"), F.lit(1).alias("_of"), zero.alias("_i"), zero.alias("_j")
+        )
+        counted = counted.where(F.col("_n") > size)
     parts = F.ceil(F.col("_n") / F.lit(size)).cast("int")
     dealt = counted.withColumn("_of", parts).withColumn("_b", F.pmod(spread, F.col("_of")).cast("int"))
     others = F.filter(
         F.sequence(F.lit(0), F.col("_of") - 1), lambda o: (o != F.col("_b")) | (F.col("_of") == 1)
     )
     dealt = dealt.withColumn("_o", F.explode(others))
-    return dealt.select(
+    dealt = dealt.select(
         *rows.columns, "_b", "_of", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")
     )
+    return few.union(dealt) if apart else dealt
 
 
 def by_group(

@@ -30,7 +30,7 @@ SHINGLE = 3
 SEED = 42
 SEEDS = (42, 43, 44)
 DISTANCE = 3
-FEW = 32
+FEW = 4
 
 
 def _remainder(word: int) -> int:
@@ -152,7 +152,7 @@ def links(prints: DataFrame) -> DataFrame:
     the links leaves the task, so the output grows with the rows, not with their pairs.
     """
     keyed = prints.select("fp").distinct().mapInArrow(_expand, "key bigint, fp bigint, leads boolean")
-    dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "leads")
+    dealt = blocks(keyed, "key", F.xxhash64("fp"), BLOCK, "leads", apart=True)
     return by_group(dealt.select("key", "_i", "_j", "fp"), ["key", "_i", "_j"], _links, "a bigint, b bigint")
 
 
@@ -291,10 +291,11 @@ def near_duplicates(
     distinct = prints.groupBy("node").agg(F.first("prints").alias("prints"), F.first("packed").alias("packed"))
     prints = stored(distinct, "simhash-words")
     keyed = prints.select("node", "prints").mapInArrow(_expand_nodes, "key bigint, fp bigint, node bigint, leads boolean")
-    dealt = blocks(keyed, "key", F.xxhash64("node"), BLOCK, "leads").select("key", "_i", "_j", "fp", "node")
+    dealt = blocks(keyed, "key", F.xxhash64("node"), BLOCK, "leads", apart=True).select("key", "_i", "_j", "fp", "node")
     pairs = stored(by_group(dealt, ["key", "_i", "_j"], _candidates(few), "a bigint, b bigint").distinct(), "simhash-pairs")
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(prints.select("node", "packed"), "node")
-    both = sides.groupBy("a", "b").agg(F.min("packed").alias("one"), F.max("packed").alias("other"))
+    one = prints.select(F.col("node").alias("a"), F.col("packed").alias("one"))
+    other = prints.select(F.col("node").alias("b"), F.col("packed").alias("other"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
     found = components(both.mapInArrow(_similar(shingle, similarity), "a bigint, b bigint"), name="simhash-near")
     rooted = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
