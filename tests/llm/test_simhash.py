@@ -137,3 +137,35 @@ def test_near_copies(spark, few):
     alone = set(range(len(rows))) - {i for g in groups for i in g}
     assert alone <= kept and {g[0] for g in groups} <= kept
     assert len(kept) - len(alone) - len(groups) <= 2
+
+
+@pytest.mark.parametrize("few", [0, 4, 32])
+def test_large_groups_give_what_all_pairs_give(spark, few):
+    """Families of near copies over the same words in other orders: their words' fingerprints are equal, so they share all keys."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(3):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for size in (3, 3, 9, 1, 20, 6, 2, 5):
+            rng.shuffle(words)
+            for copy in range(size):
+                other = words[:]
+                at = rng.randrange(100)
+                for i in range(at, at + 2 * (copy % 7), 2):
+                    other[i], other[i + 1] = other[i + 1], other[i]
+                rows.append(" ".join(other))
+    sets = []
+    for text in rows:
+        words = text.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    label = list(range(len(rows)))
+    for _ in range(20):
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y):
+                    label[i] = label[j] = min(label[i], label[j])
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r.doc_id for r in one_of_each_group(df, few=few).collect()}
+    assert len(set(label)) < len(rows) / 2 and kept == set(label)
