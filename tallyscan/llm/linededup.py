@@ -17,6 +17,7 @@ from tallyscan.llm.common import stored, table
 
 RUN = 3
 GRAM = 2
+LONG = 50
 SEPARATOR = "\n"
 NOT_BLANK = r"[^ \t\r\f\x0B]"
 
@@ -55,10 +56,35 @@ def fingerprints(rows: DataFrame, run: int, gram: int) -> DataFrame:
     )
 
 
-def repeated_runs(rows: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def long_runs(rows: DataFrame, run: int, words: int) -> DataFrame:
+    """(id, digest, s, start, end, content): runs of fewer than ``run`` lines that hold ``words`` words or more."""
+    lines = F.split("text", SEPARATOR)
+    numbered = F.transform(lines, lambda line, no: F.struct(no.alias("no"), line.alias("line")))
+    real = F.filter(numbered, lambda s: s["line"].rlike(NOT_BLANK))
+    counted = F.transform(real, lambda s: F.struct(
+        s["no"].alias("no"), F.md5(s["line"]).alias("d"), F.size(F.split(F.trim(s["line"]), r"[ \t\r\f\x0B]+")).alias("n")
+    ))
+    # as an array of one, so that the lines are split once for all lengths
+    rows = rows.where(F.length("text") >= 2 * words - 1).select("id", "digest", F.explode(F.array(counted)).alias("lines"))
+
+    def of(size: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda s: s <= F.size("lines") - size)
+        runs = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("lines", s + 1, size).alias("run")))
+        whole = F.filter(runs, lambda r: F.aggregate(r["run"]["n"], F.lit(0), lambda n, k: n + k) >= words)
+        return F.transform(whole, lambda r: F.struct(
+            r["s"].alias("s"), F.get(r["run"]["no"], F.lit(0)).alias("start"), F.get(r["run"]["no"], F.lit(size - 1)).alias("end"),
+            F.md5(F.array_join(r["run"]["d"], "")).alias("content"),
+        ))
+
+    found = F.concat(*[of(size) for size in range(1, run)])
+    return rows.where(F.size("lines") > 0).select("id", "digest", F.inline(found))
+
+
+def repeated_runs(rows: DataFrame, run: int = RUN, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """(id, digest, start, end): merged stretches of line numbers, both ends included, to delete.
 
-    A run is deleted if an equal one starts earlier, by (id, digest, line).
+    A run is deleted if an equal one starts earlier, by (id, digest, line). With ``words`` so is a
+    shorter one that holds as many words.
     """
     prints = stored(fingerprints(rows, run, gram), "lines-fingerprints")
     several = prints.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
@@ -68,12 +94,14 @@ def repeated_runs(rows: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
         "id", "digest", "first", "near", F.explode(offsets).alias("s")
     )
     lines = F.slice("near", F.col("s") - F.col("first") + 1, F.lit(run))
-    found = stored(
+    runs = (
         extended.select("id", "digest", "s", lines.alias("run"))
         .select("id", "digest", "s", F.get("run.no", F.lit(0)).alias("start"), F.get("run.no", F.lit(run - 1)).alias("end"),
-                F.md5(F.array_join(F.transform("run.d", lambda d: F.hex(d)), "")).alias("content")),
-        "lines-runs",
+                F.md5(F.array_join(F.transform("run.d", lambda d: F.hex(d)), "")).alias("content"))
     )
+    if words is not None and run > 1:
+        runs = runs.union(long_runs(rows, run, words))
+    found = stored(runs, "lines-runs")
     place = F.struct("id", "digest", "s")
     first = found.groupBy("content").agg(F.min(place).alias("earliest"))
     later = found.join(first, "content").where(place > F.col("earliest")).select("id", "digest", "start", "end").distinct()
@@ -84,16 +112,19 @@ def repeated_runs(rows: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     return marked.groupBy("id", "digest", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("stretch")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, words: int | None = None
+) -> DataFrame:
     """``docs`` with ``_kept`` (the text that is left), ``_lines``, ``_removed`` and ``_runs``.
 
     A run of ``run`` or more lines (blank ones aside) that has been seen in an earlier document, or
-    earlier in the same one, is deleted with the blank lines inside it; the first one stays. Earlier means a smaller id, then
+    earlier in the same one, is deleted with the blank lines inside it; the first one stays. With ``words`` a
+    run of fewer lines goes too if it holds as many words. Earlier means a smaller id, then
     a smaller digest for rows that repeat an id; exact repeats count as one document. A null id is
     earliest. Null texts stay null; a document that is deleted whole becomes empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    stretches = repeated_runs(rows, run, gram)
+    stretches = repeated_runs(rows, run, gram, words)
     per_doc = stretches.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone")
     )
@@ -121,9 +152,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text that is left; documents of which nothing is left are dropped."""
-    done = without_repeats(docs, id_col, text_col).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^ \t\r\n\f\x0B]"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = LONG) -> DataFrame:
+    """``docs`` with the text that is left; documents of which nothing is left are dropped.
+
+    Runs of three lines and more go, and runs of one or two lines that hold ``words`` words or more.
+    """
+    done = without_repeats(docs, id_col, text_col, words=words).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^ \t\r\n\f\x0B]"))
     columns = [F.col("_kept").alias(c) if c == text_col else
                F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*columns)

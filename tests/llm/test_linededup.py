@@ -47,3 +47,14 @@ def test_documents_deleted_whole_go(spark):
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_chars int")
     assert sorted(map(tuple, dedup_lines(df).collect())) == [(1, "a\nb\nc", 5), (3, "\n", 1), (4, None, None), (5, "x", 1)]
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_long_runs_of_one_and_two_lines_go(spark):
+    long, half, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25)), " ".join(f"k{i}" for i in range(25))
+    short = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{long}\nx"), (2, long), (3, f"y\n{long}\nz"), (4, f"{half}\n\n{other}"), (5, f"p\n{half}\n{other}"), (6, half),
+            (7, short), (8, short), (9, f"q\n{half} \n{other}"), (10, f"{long}\n{long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, dedup_lines(df).collect())) == [
+        rows[0], (3, "y\nz"), rows[3], (5, "p"), rows[5], rows[6], rows[7], rows[8]]
+    assert sorted(map(tuple, dedup_lines(df, words=None).collect())) == rows
