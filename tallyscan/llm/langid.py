@@ -96,6 +96,26 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1, length)
 
 
+def document_frequencies(rows: DataFrame, dimensions: int = DIMENSIONS) -> tuple[int, np.ndarray]:
+    """Number of texts with n-grams, and for each bucket the number of those that have it, over all ``rows(text)``."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, seen = 0, np.zeros(dimensions, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                counts = count_ngrams(text, dimensions)
+                if counts is not None:
+                    n += 1
+                    seen[np.flatnonzero(counts)] += 1
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": np.append(at, -1).astype(np.int32), "n": np.append(seen[at], n)})
+
+    total = rows.select("text").mapInPandas(counted, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    seen, real = np.zeros(dimensions), total["at"] >= 0
+    seen[total["at"][real]] = total["n"][real]
+    return int(total["n"][~real].sum()), seen
+
+
 def fit(
     docs: DataFrame,
     may_learn: Column,
@@ -109,6 +129,7 @@ def fit(
 ) -> Model:
     """Fits centroids on at most ``per_language`` labelled rows of each language.
 
+    Document frequencies are counted over all labelled rows, the bound is for the centroids.
     That bound is what keeps the fit in the driver small; the rows taken are those with the least
     hash of their id, whatever the order of the table. A text is rejected if its cosine with the
     nearest centroid is below ``reject`` times what all but one in a hundred of the learned texts
@@ -131,10 +152,8 @@ def fit(
             yield pd.DataFrame(out, columns=["lang", "at", "counts"])
 
     sample = taken.mapInPandas(counted, "lang string, at array<int>, counts array<float>").toPandas()
-    seen = np.ones(dimensions)
-    for at in sample["at"]:
-        seen[np.asarray(at)] += 1
-    idf = np.log((1 + len(sample)) / seen) + 1
+    n, seen = document_frequencies(rows, dimensions)
+    idf = np.log((1 + n) / (1 + seen)) + 1
     languages, all_centroids, least = [], [], []
     for lang, part in sorted(sample.groupby("lang"), key=lambda p: p[0]):
         vectors = np.zeros((len(part), dimensions), np.float32)

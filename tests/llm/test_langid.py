@@ -58,3 +58,15 @@ def test_prediction_ignores_language_and_id(spark):
     one = [r._lang for r in langid.identify(docs, model).orderBy("doc_id").collect()]
     two = [r._lang for r in langid.identify(other, model).orderBy("doc_id").collect()]
     assert one == two and np.isclose(np.linalg.norm(model.centroids, axis=1), 1).all()
+
+
+def test_document_frequencies_count_all_rows(spark):
+    """Rows beyond the ones the centroids are fitted on count too; unlabelled ones, and those not learned from, do not."""
+    rows = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} text{'abcdefghij'[i % 10]}", "en" if i % 3 else "de") for i in range(60)]
+    rows += [(100, "omega", None), (101, None, "en"), (102, "12", "en"), (103, "theta", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, langid.F.col("doc_id") != 103, per_language=5)
+    seen = np.ones(langid.DIMENSIONS)
+    for _, text, _ in rows[:60]:
+        seen[np.flatnonzero(count_ngrams(text))] += 1
+    assert np.allclose(model.idf, np.log(61 / seen) + 1)
