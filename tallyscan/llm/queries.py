@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallyscan.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tallyscan.llm.embeddings import op5_embeddings
+from tallyscan.llm.exactdedup import OP11_SQL, op11_copies
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.passages import op2_passages
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
+    "op11_copies": op11_copies,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op6_suffixes": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_lines": OP10_SQL,
+    "op11_copies": OP11_SQL,
 }
