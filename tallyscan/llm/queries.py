@@ -7,6 +7,7 @@ from tallyscan.llm.embeddings import op5_embeddings
 from tallyscan.llm.exactdedup import OP11_SQL, op11_copies
 from tallyscan.llm.langid import op8_langid
 from tallyscan.llm.linededup import OP10_SQL, op10_lines
+from tallyscan.llm.negatives import OP13_SQL, op13_negatives
 from tallyscan.llm.passages import op2_passages
 from tallyscan.llm.pieces import op7_pieces
 from tallyscan.llm.suffixes import OP6_SQL, op6_suffixes
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
     "op11_copies": op11_copies,
+    "op13_negatives": op13_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op9_warc": OP9_SQL,
     "op10_lines": OP10_SQL,
     "op11_copies": OP11_SQL,
+    "op13_negatives": OP13_SQL,
 }
