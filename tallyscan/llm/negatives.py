@@ -1,7 +1,7 @@
 """Hard-negative mining over Hilbert-ordered blocks with zone maps.
 
 Vectors are turned into integers, ordered along a Hilbert curve through all their dimensions and
-written as Parquet blocks: a row holds up to ``BLOCK_ROWS`` neighbours on the curve and, beside them, the
+written as Parquet blocks: a row holds up to 1,024 neighbours on the curve and, beside them, the
 least and greatest value in every dimension (and of the label). An anchor asks for the best rows within
 windows of scores. Interval arithmetic on the minima and maxima bounds the score of any row of a block,
 so only blocks whose bounds meet a window are read; what its own block holds raises the lower end first.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,8 @@ from tallyscan.llm.common import scratch_path, stored, table
 
 SCALE = 256
 BITS = 4
-BLOCK_ROWS = 1024
 BLOCK_BYTES = 1 << 20
-PART_ROWS = 1 << 14
 MOST_PARTS = 1024
-CHUNK = 4096
 LEAST, MOST = -(2**62), 2**62
 
 BLOCKS = ("no int, size int, rows int, low binary, high binary, label_low bigint, label_high bigint, "
@@ -36,6 +34,15 @@ BLOCKS = ("no int, size int, rows int, low binary, high binary, label_low bigint
 ASKED = "anchor_id bigint, label bigint, size int, vec binary, lows array<bigint>, highs array<bigint>"
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Rows of a block, rows of a part of the curve, and anchors that are read for together. Decides cost, not results."""
+
+    block_rows: int = 1024
+    part_rows: int = 1 << 14
+    chunk: int = 4096
+
+
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The place on the Hilbert curve of each row of ``points`` (integers below ``2 ** bits``), as bytes in order."""
     x = points.astype(np.int64).T.copy()
@@ -103,7 +110,7 @@ def _binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(block_rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one part in the order of the curve to blocks; last, for each size, the maps of the whole part as block -1."""
     part, no = TaskContext.get().partitionId(), 0
     whole: dict[int, list] = {}
@@ -135,7 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = rest.column("size").to_numpy()
         at = 0
         while at < len(sizes):
-            most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(int(sizes[at]), 1))))
+            most = max(1, min(block_rows, BLOCK_BYTES // (8 * max(int(sizes[at]), 1))))
             same = int(np.searchsorted(sizes, sizes[at], side="right"))
             stop = min(at + most, same)
             if stop == len(sizes) and stop - at < most:
@@ -160,7 +167,7 @@ class Index:
     chunks: int
 
 
-def build(rows: DataFrame, scale: int = SCALE) -> Index:
+def build(rows: DataFrame, scale: int = SCALE, layout: Layout = Layout()) -> Index:
     """Writes the blocks of ``rows(id bigint, label bigint, vec array<double>, anchor boolean)``."""
     spark = rows.sparkSession
     fine = stored(usable(rows, scale), "negatives-rows")
@@ -172,14 +179,14 @@ def build(rows: DataFrame, scale: int = SCALE) -> Index:
         raise OverflowError(f"components times {scale} must be below 2 ** 31")
     schema = "id bigint, label bigint, size int, vec array<bigint>, anchor boolean, key binary"
     keyed = stored(fine.mapInArrow(_keyed(low, high), schema), "negatives-keyed")
-    parts = max(1, min(MOST_PARTS, -(-n // PART_ROWS)))
+    parts = max(1, min(MOST_PARTS, -(-n // layout.part_rows)))
     # the id parts rows with equal keys, so copies of a vector are many parts if need be
     curve = keyed.repartitionByRange(parts, "size", "key", "id").sortWithinPartitions("size", "key", "id")
     path = scratch_path(spark, "negatives-blocks")
-    curve.mapInArrow(_packed, BLOCKS).write.partitionBy("part").parquet(path)
+    curve.mapInArrow(partial(_packed, layout.block_rows), BLOCKS).write.partitionBy("part").parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     anchors = stored(keyed.where("anchor").select(F.col("id").alias("anchor_id"), "label", "size", "vec", "key"), "negatives-anchors")
-    return Index(path, blocks, anchors, max(1, -(-(asked or 0) // CHUNK)))
+    return Index(path, blocks, anchors, max(1, -(-(asked or 0) // layout.chunk)))
 
 
 def _bounds(vectors: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +389,7 @@ def _own_blocks(index: Index) -> DataFrame:
 
 def hard_negatives(
     rows: DataFrame, anchor: Column, id_col: str = "vec_id", label_col: str = "label", vec_col: str = "embedding",
-    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = SCALE,
+    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = SCALE, layout: Layout = Layout(),
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score).
 
@@ -400,7 +407,7 @@ def hard_negatives(
         F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"),
         F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(anchor, F.lit(False)).alias("anchor"),
     )
-    index = build(given, scale)
+    index = build(given, scale, layout)
     binary = _as_binary(index.anchors.select("anchor_id", "label", "size", "vec"))
     every = binary.withColumns({"lows": F.array(F.lit(LEAST + 1)), "highs": F.array(F.lit(MOST - 1))})
     best = search(index, every, positives, True).select(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscan.llm import negatives
-from tallyscan.llm.negatives import BITS, _bounds, hard_negatives, hilbert_keys
+from tallyscan.llm.negatives import BITS, Layout, _bounds, hard_negatives, hilbert_keys
 
 
 def brute(rows, every, positives=5, keep=3, low=50, high=95, scale=256):
@@ -41,13 +41,10 @@ def clustered(n, dimensions, labels, seed):
 
 
 @pytest.mark.parametrize("dimensions,block", [(2, 16), (8, 7), (16, 1024)])
-def test_against_brute_force(spark, monkeypatch, dimensions, block):
-    monkeypatch.setattr(negatives, "BLOCK_ROWS", block)
-    monkeypatch.setattr(negatives, "PART_ROWS", 100)
-    monkeypatch.setattr(negatives, "CHUNK", 8)
+def test_against_brute_force(spark, dimensions, block):
     rows = clustered(700, dimensions, 4, dimensions)
     rows += [(1000 + i, 1 + i % 3 // 2, rows[50][2]) for i in range(200)]  # copies of a vector, more than a part holds
-    assert found(spark, rows, 25) == brute(rows, 25) != []
+    assert found(spark, rows, 25, layout=Layout(block, 100, 8)) == brute(rows, 25) != []
 
 
 def test_odd_rows(spark):
@@ -86,12 +83,10 @@ def test_bounds_hold_every_score():
     assert (least <= scores).all() and (scores <= most).all()
 
 
-def test_far_blocks_are_not_read(spark, monkeypatch):
-    monkeypatch.setattr(negatives, "BLOCK_ROWS", 32)
-    monkeypatch.setattr(negatives, "PART_ROWS", 256)
+def test_far_blocks_are_not_read(spark):
     rows = [(i, i % 2, [float(np.cos(i / 300)), float(np.sin(i / 300))]) for i in range(1800)]
     df = spark.createDataFrame([(*r, True) for r in rows], "id long, label long, vec array<double>, anchor boolean").withColumn("anchor", F.col("id") % 50 == 0)
-    index = negatives.build(df)
+    index = negatives.build(df, layout=Layout(32, 256))
     asked = negatives._as_binary(index.anchors).withColumns({"lows": F.array(F.lit(65000).cast("bigint")), "highs": F.array(F.lit(negatives.MOST - 1))})
     pairs = negatives._chosen(index, asked, True).count()
     assert 36 <= pairs < 36 * index.blocks.where("no >= 0").count() / 4
