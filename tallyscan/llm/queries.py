@@ -10,6 +10,7 @@ from tallyscan.llm.linededup import OP10_SQL, op10_lines
 from tallyscan.llm.negatives import OP13_SQL, op13_negatives
 from tallyscan.llm.passages import op2_passages
 from tallyscan.llm.pieces import op7_pieces
+from tallyscan.llm.spelling import op12_spelling
 from tallyscan.llm.suffixes import OP6_SQL, op6_suffixes
 from tallyscan.llm.toxicity import op3_toxicity
 from tallyscan.llm.warc import OP9_SQL, op9_warc
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
     "op11_copies": op11_copies,
+    "op12_spelling": op12_spelling,
     "op13_negatives": op13_negatives,
 }
 ORACLES: dict[str, str] = {
