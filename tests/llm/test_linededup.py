@@ -1,12 +1,13 @@
 import random
+import re
 
 import pytest
 
 from tallyscan.llm.linededup import dedup_lines, without_repeats
 
 
-def brute(rows, run):
-    """Lines that lie in a run with an equal, earlier one; exact repeats of a row are one document."""
+def brute(rows, run, words=None):
+    """Lines that lie in a run with an equal, earlier one; exact repeats of a row are one document. Shorter runs count with so many words."""
     import hashlib
 
     keyed = {(i is not None, i or 0, "" if t is None else hashlib.md5(t.encode()).hexdigest()): t for i, t in rows}
@@ -17,12 +18,16 @@ def brute(rows, run):
             continue
         lines = text.split("\n")
         real = [n for n, line in enumerate(lines) if line.strip(" \t\r\f\x0b")]
-        for s in range(len(real) - run + 1):
-            at = real[s : s + run]
-            content = tuple(lines[n] for n in at)
-            if content in seen:
-                gone.setdefault(key, set()).update(range(at[0], at[-1] + 1))
-            seen.add(content)
+        long = [len(re.split("[ \t\r\f\x0b]+", line.strip(" "))) for line in lines]
+        for size in range(run if words is None else 1, run + 1):
+            for s in range(len(real) - size + 1):
+                at = real[s : s + size]
+                if size < run and sum(long[n] for n in at) < words:
+                    continue
+                content = tuple(lines[n] for n in at)
+                if content in seen:
+                    gone.setdefault(key, set()).update(range(at[0], at[-1] + 1))
+                seen.add(content)
     out = []
     for i, t in rows:
         bad = gone.get((i is not None, i or 0, "" if t is None else hashlib.md5(t.encode()).hexdigest()), set())
@@ -42,6 +47,15 @@ def test_against_brute_force(spark, run, gram):
     assert sorted(((r.doc_id, r._kept, r._removed) for r in done.collect()), key=str) == brute(rows, run)
 
 
+@pytest.mark.parametrize("words", [2, 5, 50])
+def test_short_runs_against_brute_force(spark, words):
+    rng = random.Random(words)
+    lines = ["a", "b c", "d  e\tf", "\tg h", " i j k l m", "", " ", "long " * 30]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 7)))) for i in range(80)] + [(90, None), (None, "b c\nb c"), (91, "long " * 30)]
+    done = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), words=words)
+    assert sorted(((r.doc_id, r._kept, r._removed) for r in done.collect()), key=str) == brute(rows, 3, words)
+
+
 def test_documents_deleted_whole_go(spark):
     rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (3, "\n"), (4, None), (5, "x\na\nb\nc")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_chars int")

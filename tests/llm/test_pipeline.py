@@ -38,7 +38,7 @@ def test_language(results):
 
 def test_lines(results):
     given, done = map(texts, results[1])
-    wanted = {i: kept for i, kept, n in test_linededup.brute(list(given.items()), 3) if n == 0 or (kept or "").strip()}
+    wanted = {i: kept for i, kept, n in test_linededup.brute(list(given.items()), 3, 50) if n == 0 or (kept or "").strip()}
     assert done == wanted
 
 
