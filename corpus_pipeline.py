@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates: similarity 0.8 over shingles of five words."""
+    """Keeps the document with the smallest id of each SimHash group: shingles of three words, links at three or fewer differing bits."""
     return one_of_each_group(docs)
 
 

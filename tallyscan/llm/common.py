@@ -54,6 +54,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

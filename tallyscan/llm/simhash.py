@@ -16,23 +16,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscan.llm.common import BLOCK, blocks, by_group, components, pairs_in_groups, roots, stored, table
+from tallyscan.llm.common import BLOCK, blocks, by_group, components, pairs_in_groups, roots, stored, table, unused
 
 # Generator of the Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1), widths of the segments.
 GENERATOR = 0b110001110101
 SEGMENTS = (16, 16, 16, 16)
 SHINGLE = 3
 SEED = 42
-SEEDS = (42, 43, 44)
 DISTANCE = 3
-FEW = 4
-TURNS = 4
 
 
 def _remainder(word: int) -> int:
@@ -178,237 +173,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _word_prints(seeds: tuple[int, ...]):
-    """(node, prints, packed): fingerprints of the shingles and, under each seed, of the set of words, and the packed text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            lists, packed = [], []
-            for text in batch.column("bytes"):
-                whole = text.as_py()
-                words = sorted(set(whole.lower().split()))
-                own = np.array([fingerprint(whole)], np.uint64).view(np.int64)[0]
-                lists.append([int(own), *(_majority(words, seed) for seed in seeds)])
-                packed.append(pack.compress(text.as_buffer()))
-            columns = [batch.column("node"), pa.array(lists, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "prints", "packed"])
-
-    return run
-
-
-def _majority(features: list[bytes], seed: int) -> int:
-    if not features:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), "<u8", len(features))
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(features), bitorder="little").view("<i8")[0])
-
-
-def _expand_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    golay = Golay()
-    for batch in batches:
-        nodes = batch.column("node").to_numpy()
-        prints = np.asarray(batch.column("prints").flatten()).reshape(len(nodes), -1)
-        for seed in range(prints.shape[1]):
-            for at in range(0, len(nodes), 4096):
-                part = np.ascontiguousarray(prints[at : at + 4096, seed])
-                rows, keys, leads = _keys(part.view(np.uint64), golay)
-                columns = [pa.array(keys | seed << 40), pa.array(part[rows]), pa.array(nodes[at : at + 4096][rows]), pa.array(leads)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "node", "leads"])
-
-
-MET = "a bigint, b bigint, centre boolean, key bigint, _i int, _j int, fp bigint"
-
-
-def _met(pairs: np.ndarray, rest: pa.Table | None = None) -> pa.RecordBatch:
-    """Rows of ``MET``: pairs (least, greatest, whether the second is the centre), and rows of groups with pairs left."""
-    swap = pairs[:, 0] > pairs[:, 1]
-    pairs = np.where(swap[:, None], pairs[:, ::-1], pairs)
-    pairs, at = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0, return_index=True)
-    swap = swap[at]
-    n, more = len(pairs), 0 if rest is None else rest.num_rows
-    none = pa.nulls(more, pa.int64())
-    both = lambda head, tail: pa.concat_arrays([head, tail])
-    arrays = [
-        both(pa.array(pairs[:, 0]), rest.column("node").combine_chunks() if more else none),
-        both(pa.array(pairs[:, 1]), none), both(pa.array(~swap), pa.nulls(more, pa.bool_())),
-    ]
-    for name, kind in (("key", pa.int64()), ("_i", pa.int32()), ("_j", pa.int32()), ("fp", pa.int64())):
-        arrays.append(both(pa.nulls(n, kind), rest.column(name).combine_chunks() if more else pa.nulls(0, kind)))
-    return pa.RecordBatch.from_arrays(arrays, ["a", "b", "centre", "key", "_i", "_j", "fp"])
-
-
-def _candidates(few: int):
-    """Near pairs of each group; in a large one, each row with the centre it is near to, and the rows of all other near pairs.
-
-    Centres are the rows with the most near rows among those that have no centre yet.
-    """
-
-    def run(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        nodes, bits = rows.column("node").to_numpy(), rows.column("fp").to_numpy().view(np.uint64)
-        left, right = [np.empty(0, int)], [np.empty(0, int)]
-        for a, b in pairs_in_groups(group):
-            near = np.bitwise_count(bits[a] ^ bits[b]) <= DISTANCE
-            left.append(a[near])
-            right.append(b[near])
-        left, right = np.concatenate(left), np.concatenate(right)
-        large = np.bincount(group)[group[left]] > few
-        kept = [np.column_stack([left[~large], right[~large]])]
-        rest = None
-        if large.any():
-            left, right, n = left[large], right[large], len(nodes)
-            kept.append(_stars(left, right, n))
-            centre, around = kept[1].T
-            other = ~np.isin(left * n + right, np.minimum(centre, around) * n + np.maximum(centre, around))
-            rest = rows.take(np.unique(np.concatenate([left[other], right[other]])))
-        return _met(nodes[np.concatenate(kept)][:, ::-1], rest)
-
-    return run
-
-
-def _unsettled(similarity: float, every: bool):
-    """Near pairs of each group whose rows are not connected yet and may be similar; with ``every`` all, else stars.
-
-    One less the similarity is a metric: two rows whose similarities to a third differ by more
-    than what a link allows are no link. So a pair that failed is left out as well.
-    """
-
-    def run(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-        nodes, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
-        bits = rows.column("fp").to_numpy().view(np.uint64)
-        known = rows.column("known").combine_chunks()
-        found = [np.empty((0, 2), np.int64)]
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        for begin, end in zip(edges[:-1], edges[1:]):
-            n = end - begin
-            a, b = np.triu_indices(n, 1)
-            open_ = root[begin:end][a] != root[begin:end][b]
-            a, b = a[open_], b[open_]
-            near = np.bitwise_count(bits[begin:end][a] ^ bits[begin:end][b]) <= DISTANCE
-            a, b = a[near], b[near]
-            if not len(a):
-                continue
-            part = known.slice(begin, n)
-            owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(part), 0).to_numpy())
-            third = part.flatten().field("node").to_numpy()
-            share = part.flatten().field("share").to_numpy()
-            own = nodes[begin:end]
-            order = np.argsort(third, kind="stable")
-            cuts = np.flatnonzero(np.diff(third[order])) + 1
-            for at in np.split(order, cuts) if len(order) else ():
-                shares = np.full(n, np.nan)
-                shares[owner[at]] = share[at]
-                shares[own == third[at[0]]] = 1.0
-                may = ~(np.abs(shares[a] - shares[b]) > 1 - similarity + 1e-9)
-                a, b = a[may], b[may]
-            if len(a):
-                found.append(own[np.column_stack([a, b]) if every else _stars(a, b, n)[:, ::-1]])
-        return _met(np.concatenate(found))
-
-    return run
-
-
-def _stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    pairs = np.concatenate([np.column_stack([left, right]), np.column_stack([right, left])])
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    begin = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-    free = np.ones(n, bool)
-    out = [np.empty((0, 2), int)]
-    for centre in np.argsort(-(begin[1:] - begin[:-1]), kind="stable").tolist():
-        around = pairs[begin[centre] : begin[centre + 1], 1]
-        if free[centre] and len(around):
-            out.append(np.column_stack([np.full(len(around), centre), around]))
-            free[centre] = False
-            free[around] = False
-    return np.concatenate(out)
-
-
-def _similar(shingle: int, similarity: float):
-    """(a, b, centre, good, share): the similarity of each pair, and whether it links them."""
-
-    def shingles(text: bytes) -> set[bytes]:
-        words = text.lower().split()
-        return {b" ".join(words[i : i + shingle]) for i in range(max(len(words) - shingle + 1, 1))}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            good, share = [], []
-            for one, other in zip(batch.column("one").to_pylist(), batch.column("other").to_pylist()):
-                x, y = shingles(unpack.decompress(one)), shingles(unpack.decompress(other))
-                good.append(len(x & y) >= similarity * len(x | y))
-                share.append(len(x & y) / len(x | y))
-            arrays = [*(batch.column(c) for c in ("a", "b", "centre")), pa.array(good, pa.bool_()), pa.array(share, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "centre", "good", "share"])
-
-    return run
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS,
-    shingle: int = 5, similarity: float = 0.8, few: int = FEW,
-) -> DataFrame:
-    """(node, id, component_id): groups of documents with a Jaccard similarity of ``similarity`` over word shingles.
-
-    Fingerprints of shingles alone differ in too many bits at such a similarity, so candidates
-    come from the set of words too, under several seeds: linked in the same way by codewords,
-    then compared on the shingles of the whole texts. In groups of more than ``few`` rows pairs with
-    centres are compared first, then those that still join two components and may be similar, in
-    several turns and at last all of them, so the result is that of all near pairs. Equal texts are one node. Null
-    is taken as empty, all texts without words are one group, and a text of fewer words is one shingle. A row without an id names no component.
-    """
-    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("bytes")).withColumn("node", F.xxhash64("bytes"))
-    ids = rows.select("node", "id")
-    prints = rows.select("node", "bytes").mapInArrow(_word_prints(seeds), "node bigint, prints array<bigint>, packed binary")
-    distinct = prints.groupBy("node").agg(F.first("prints").alias("prints"), F.first("packed").alias("packed"))
-    prints = stored(distinct, "simhash-words")
-    keyed = prints.select("node", "prints").mapInArrow(_expand_nodes, "key bigint, fp bigint, node bigint, leads boolean")
-    dealt = blocks(keyed, "key", F.xxhash64("node"), BLOCK, "leads", apart=True).select("key", "_i", "_j", "fp", "node")
-    group = ["key", "_i", "_j"]
-    met = stored(by_group(dealt, group, _candidates(few), MET), "simhash-pairs")
-    one = prints.select(F.col("node").alias("a"), F.col("packed").alias("one"))
-    other = prints.select(F.col("node").alias("b"), F.col("packed").alias("other"))
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.groupBy("a", "b").agg(F.max("centre").alias("centre"))
-        both = pairs.join(one, "a").join(other, "b").select("a", "b", "centre", "one", "other")
-        schema = "a bigint, b bigint, centre boolean, good boolean, share double"
-        return stored(both.mapInArrow(_similar(shingle, similarity), schema), "simhash-tried")
-
-    rest = met.where("key is not null").select(*group, "fp", F.col("a").alias("node"))
-    done = tried(met.where("key is null"))
-    found = components(done.where("good"), name="simhash-near")
-    for turn in range(TURNS + 1):
-        rest = rest.select(*group, "fp", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = rest.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        rest = stored(rest.join(several.select(*group), group, "left_semi"), "simhash-rest")
-        if rest.isEmpty():
-            break
-        around, centre = [F.when(F.col("centre"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"))]
-        known = done.select(around.alias("node"), F.struct(centre.alias("node"), "share").alias("known"))
-        known = rest.join(known.groupBy("node").agg(F.collect_list("known").alias("known")), "node", "left")
-        pairs = stored(by_group(known, group, _unsettled(similarity, turn == TURNS), MET), "simhash-pairs")
-        if pairs.isEmpty():
-            break
-        done = done.union(tried(pairs))
-        found = components(done.where("good"), name="simhash-near")
-    rooted = ids.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(first, "root").select("node", "id", "component_id")
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group of near-duplicates, all columns kept.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group (see ``simhash_groups``), all columns kept.
 
     Rows that share an id stay or go together, except that of exact repeats (id and text) one
     stays. Rows without an id stay, as nothing tells them apart.
     """
-    groups = near_duplicates(docs, id_col, text_col, few=few)
-    kept = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
+    groups = simhash_groups(docs, id_col, text_col, shingle)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    digest = unused("_digest", docs.columns)
     rows = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").select(docs.columns)
-    rows = rows.withColumn("_text_digest", F.md5(text_col)).dropDuplicates([id_col, "_text_digest"]).drop("_text_digest")
+    rows = rows.withColumn(digest, F.md5(text_col)).dropDuplicates([id_col, digest]).drop(digest)
     return rows.union(docs.where(F.col(id_col).isNull()))
 
 

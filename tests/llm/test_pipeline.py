@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
 import test_decontaminate
 import test_linededup
+import test_simhash
 from tallyscan.llm.common import stored
 
 FOLDER = "/root/testdata/sf0.01"
@@ -42,33 +43,10 @@ def test_lines(results):
     assert done == wanted
 
 
-def shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
-
-
 def test_near_duplicates(results):
-    """Against all pairs: documents that are like no other stay, and nearly all groups lose all but their first."""
+    """One document stays of each group that links of three or fewer differing bits connect."""
     given, done = map(texts, results[2])
-    sets = {i: shingles(t) for i, t in given.items()}
-    holders, label = {}, {i: i for i in given}
-    for i, s in sets.items():
-        for x in s:
-            holders.setdefault(x, []).append(i)
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i, s in sets.items():
-        for j in {j for x in s for j in holders[x] if j < i}:
-            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
-                a, b = find(i), find(j)
-                label[max(a, b)] = min(a, b)
-    first = {i for i in given if find(i) == i}
-    assert first <= set(done) and done.items() <= given.items()
-    assert len(set(done) - first) <= 0.15 * (len(given) - len(first)) + 1
+    assert done == {i: given[i] for i in {c for _, _, c in test_simhash.brute(list(given.items()))}}
 
 
 def test_decontamination(spark, results):
