@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscan.llm.common import stored, table
+from tallyscan.llm.common import stored, table, unused
 
 WINDOW = 13
 SHINGLE = 5
@@ -181,10 +181,11 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept."""
+    bad_id, bad_digest = (unused(name, docs.columns) for name in ("_bad_id", "_bad_digest"))
     bad = decontaminate(docs, items, id_col, text_col).where("contaminated").select(
-        F.col(id_col).alias("_bad_id"), F.col("digest").alias("_bad_digest")
+        F.col(id_col).alias(bad_id), F.col("digest").alias(bad_digest)
     ).distinct()
-    key = F.col(id_col).eqNullSafe(F.col("_bad_id")) & F.md5(F.col(text_col).cast("string")).eqNullSafe(F.col("_bad_digest"))
+    key = F.col(id_col).eqNullSafe(F.col(bad_id)) & F.md5(F.col(text_col).cast("string")).eqNullSafe(F.col(bad_digest))
     return docs.join(bad, key, "left_anti")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyscan.llm.common import table
+from tallyscan.llm.common import stored, table, unused
 
 DIMENSIONS = 1 << 14
 PIECE = 1 << 20
@@ -139,7 +139,12 @@ def fit(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")
     )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    taken = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text")
+    first = lambda r: r.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    # ids are chosen first, so that texts travel for the chosen rows alone
+    chosen = stored(first(rows.select("lang", "id")).distinct(), "langid-chosen")
+    one, other = rows.alias("r"), chosen.alias("c")
+    taken = one.join(other, (F.col("r.lang") == F.col("c.lang")) & F.col("r.id").eqNullSafe(F.col("c.id")), "left_semi")
+    taken = first(taken).select("lang", "text")  # ids may repeat
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,8 +175,8 @@ def fit(
     return Model(languages, stacked, np.array(least), idf)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_lang(pred, score, rejected)``: the language of each whole text.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_lang") -> DataFrame:
+    """``docs`` with a struct ``name(pred, score, rejected)``: the language of each whole text.
 
     A null text or one without a letter is ``und`` with score 0 and rejected. Only the text is
     read; repeated rows get equal results.
@@ -183,7 +188,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["pred", "score", "rejected"])
 
-    return docs.withColumn("_lang", predict(F.col(text_col).cast("string")))
+    return docs.withColumn(name, predict(F.col(text_col).cast("string")))
 
 
 def fold(id_col: str = "doc_id", folds: int = 3) -> Column:
@@ -210,7 +215,8 @@ def langid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is known, all columns kept."""
     model = fit(docs, fold(id_col) != 1, id_col, text_col, lang_col)
-    return identify(docs, model, text_col).where("not _lang.rejected").select(docs.columns)
+    name = unused("_lang", docs.columns)
+    return identify(docs, model, text_col, name).where(~F.col(name)["rejected"]).select(docs.columns)
 
 
 def op8_langid(spark: SparkSession, folder: str) -> DataFrame:

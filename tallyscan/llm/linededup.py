@@ -121,16 +121,21 @@ def without_repeats(
     earlier in the same one, is deleted with the blank lines inside it; the first one stays. With ``words`` a
     run of fewer lines goes too if it holds as many words. Earlier means a smaller id, then
     a smaller digest for rows that repeat an id; exact repeats count as one document. A null id is
-    earliest. Null texts stay null; a document that is deleted whole becomes empty.
+    earliest. Null texts stay null; a document that is deleted whole becomes empty. A column of ``docs`` with
+    the name of a new one is replaced.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     stretches = repeated_runs(rows, run, gram, words)
     per_doc = stretches.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone")
     )
-    key = F.col(id_col).eqNullSafe(F.col("_id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("_digest"))
-    joined = docs.join(per_doc, key, "left")
-    lines = F.split(text_col, SEPARATOR)
+    # the columns travel as one, so their names can't clash with those used here
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    )
+    key = F.col("id").eqNullSafe(F.col("_id")) & F.md5("text").eqNullSafe(F.col("_digest"))
+    joined = packed.join(per_doc, key, "left")
+    lines = F.split("text", SEPARATOR)
     gone = F.col("_gone")
     edges = F.concat(gone, F.array(F.struct(F.size(lines).alias("start"), F.size(lines).alias("end"))))
     kept = F.flatten(
@@ -143,12 +148,14 @@ def without_repeats(
         )
     )
     removed = F.aggregate(gone, F.lit(0), lambda n, g: n + g["end"] - g["start"] + 1)
+    new = {
+        "_kept": F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, SEPARATOR)),
+        "_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),
+        "_removed": F.coalesce(removed, F.lit(0)).cast("bigint"),
+        "_runs": F.coalesce(F.size(gone), F.lit(0)).cast("bigint"),
+    }
     return joined.withColumn("_split", F.when(gone.isNotNull(), lines)).select(
-        *docs.columns,
-        F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, SEPARATOR)).alias("_kept"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
-        F.coalesce(removed, F.lit(0)).cast("bigint").alias("_removed"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("_runs"),
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()]
     )
 
 
@@ -157,10 +164,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Runs of three lines and more go, and runs of one or two lines that hold ``words`` words or more.
     """
-    done = without_repeats(docs, id_col, text_col, words=words).where((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^ \t\r\n\f\x0B]"))
-    columns = [F.col("_kept").alias(c) if c == text_col else
-               F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    done = without_repeats(packed, "id", "text", words=words)
+    done = done.where((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^ \t\r\n\f\x0B]"))
+    new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_lines(spark: SparkSession, folder: str) -> DataFrame:

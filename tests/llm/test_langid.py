@@ -38,8 +38,8 @@ def test_odd_rows(spark):
     assert [found[i].lang_pred for i in (90001, 90002, 90003)] == ["und"] * 3
     assert found[90004].rejected and found[90005].lang_pred == "en" and not found[None].held_out
     assert sum(r.doc_id == 90007 for r in rows) == 2
-    kept = drop_rejected(both.drop("_lang"))
-    assert kept.columns == ["doc_id", "text", "lang", "score"]
+    kept = drop_rejected(both)
+    assert kept.columns == both.columns and {r["_lang"] for r in kept.collect()} == {"c"}
     left = {r.doc_id for r in kept.where("doc_id >= 90000 or doc_id is null").collect()}
     assert not left & {90001, 90002, 90003, 90004} and {90005, None} <= left
 

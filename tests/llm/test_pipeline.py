@@ -67,13 +67,15 @@ def test_run_is_the_last_stage(spark, results):
 
 def test_odd_rows(spark):
     """Nulls, repeats, very long texts and more columns run through; an empty table gives an empty one."""
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", "1 as node", "'c' as digest")
+    names = ["digest", "_gone", "_id", "_digest", "_kept", "_lines", "_removed", "_runs", "_split", "_lang", "_text_digest", "_bad_id", "_bad_digest", "row", "id"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", "1 as node", *[f"'c' as {n}" for n in names])
     odd = [(None, "the and of that\nwith this", "en", "s", 9), (-1, None, None, None, None), (-2, "", "en", "s", 0), (-3, "one\n" * 20000, "en", "s", 1),
            (-4, "the same and the same", "en", "s", 1), (-4, "the same and the same", "en", "s", 1)]
-    extra = spark.createDataFrame([(*r, 1, "c") for r in odd], docs.schema)
+    extra = spark.createDataFrame([(*r, 1, *["c"] * len(names)) for r in odd], docs.schema)
     for rows in (docs.limit(200).union(extra), docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             rows = stored(stage(spark, rows, FOLDER), f"odd-{name}")
             assert rows.columns == docs.columns
+            assert rows.where(" or ".join(f"{n} is distinct from 'c'" for n in names)).isEmpty()
         ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER).collect()]
         assert ids == [] or (ids.count(-4) == 1 and ids.count(None) == 1 and -1 not in ids and -2 not in ids)
