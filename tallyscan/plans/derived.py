@@ -429,6 +429,15 @@ def _part_files(d) -> str:
       from (select doc_id from page_text union select doc_id from glyphs union select doc_id from ocr_segments) f"""
 
 
+def _file_lines(d) -> str:
+    """Orders as lines of one file a month; every second month is marked as a PDF, every third file comes twice."""
+    month = d.day(d.ts("o_orderdate"), "yyyy-MM")
+    return f"""
+      select month, no, concat(case when cast(substr(month, 6, 2) as int) % 2 = 0 then '%PDF ' else 'text ' end,
+             cast(no as string), ' ', o_orderstatus) as line, case when cast(substr(month, 6, 2) as int) % 3 = 0 then 2 else 1 end as copies
+      from (select {month} as month, o_orderkey as no, o_orderstatus from {d.table('orders')}) o"""
+
+
 TABLES = {
     "cents": _cents, "truth": _truth, "docs": _docs, "doc_lines": _doc_lines, "table_rows": _table_rows,
     "words": _words, "glyphs": _glyphs, "page_text": _page_text, "ocr_segments": _ocr_segments,
@@ -439,7 +448,7 @@ TABLES = {
     "amount_texts": _amount_texts, "date_texts": _date_texts, "currency_texts": _currency_texts,
     "misread_docs": _misread_docs, "padded_documents": _padded_documents, "corpus": _corpus,
     "amount_fields": _amount_fields, "manifest": _manifest, "stored_files": _stored_files,
-    "part_files": _part_files,
+    "part_files": _part_files, "file_lines": _file_lines,
 }
 
 

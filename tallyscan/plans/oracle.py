@@ -8,7 +8,7 @@ string aggregation, answers taken from the true values they were made of.
 from __future__ import annotations
 
 from tallyscan import fixed_values as fv
-from tallyscan.plans.derived import NOW, TABLES, DuckDialect, with_clause
+from tallyscan.plans.derived import NOW, TABLES, DuckDialect, _uuid, with_clause
 
 _D = DuckDialect()
 WS = fv.WHITESPACE
@@ -595,6 +595,15 @@ def _build() -> dict[str, str]:
     # a stream touches only rows a result names, so nothing is left claimed without one
     named = text_done.replace("from text_state", "from (select * replace (due and hit as due) from text_state)")
     q_["k4_stream_retry"] = f"{_STATE} ({failed(f'({named})', '(due and failure is not null)', 'failure')}) x"
+    for state, same in (("i3_state_failures", "i3_apply_failures"), ("i4_state_text", "i4_apply_text"),
+                        ("i5_state_extraction", "i5_apply_extraction"), ("i6_state_status", "i6_set_status")):
+        q_[state] = q_[same]
+    q_["k2_stream_documents"] = q_["h5_extract_documents"]
+    q_["k1_stream_files"] = f"""
+        select {_uuid(DuckDialect(), "concat(month, '|', sha256)")} as id, month as email_message_id, sha256,
+          case when pdf then 'application/pdf' else {q(fv.DEFAULT_CONTENT_TYPE)} end as content_type, 'RECEIVED' as status, 0::bigint as attempt_count
+        from (select month, sha256(string_agg(line, chr(10) order by no) || chr(10)) as sha256, starts_with(min(line), '%PDF') as pdf
+              from file_lines group by month) f"""
     # DuckDB 2.0 fails inside when the cells are aggregated straight from the unnested lines
     return {name: with_clause(sql, d, ("docs", "table_rows")) for name, sql in q_.items()}
 

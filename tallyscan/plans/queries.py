@@ -23,6 +23,8 @@ from tallyscan.sources import (
     initial_state, read_invoices, scan_files, write_invoices,
 )
 from tallyscan.streaming import stream
+from tallyscan.streaming.documents import stream_documents
+from tallyscan.streaming.state import StateTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,6 +440,36 @@ def i6_set_status(t: Tables) -> DataFrame:
     return flat_state(lifecycle.set_status(t.invoices, t.status_updates, NOW))
 
 
+def _state_after(t: Tables, change: Callable[[DataFrame], DataFrame], compact: bool = False) -> DataFrame:
+    """The invoices as a bucketed state table, changed by a batch that meets their buckets alone."""
+    table = StateTable(t.spark, f"{scratch_root(t.spark)}/state-{uuid.uuid4().hex}", t.invoices.schema)
+    table.write(t.invoices, 0)
+    table.write(change(table.current()), 1, aligned=True)
+    if compact:
+        table.compact(2)
+    return flat_state(table.current())
+
+
+@query
+def i3_state_failures(t: Tables) -> DataFrame:
+    return _state_after(t, lambda rows: lifecycle.apply_failures(rows, t.failures, NOW, changed_only=True))
+
+
+@query
+def i4_state_text(t: Tables) -> DataFrame:
+    return _state_after(t, lambda rows: lifecycle.apply_text(rows, t.text_results, NOW, changed_only=True), compact=True)
+
+
+@query
+def i5_state_extraction(t: Tables) -> DataFrame:
+    return _state_after(t, lambda rows: lifecycle.apply_extraction(rows, t.extraction_results, NOW, changed_only=True))
+
+
+@query
+def i6_state_status(t: Tables) -> DataFrame:
+    return _state_after(t, lambda rows: lifecycle.set_status(rows, t.status_updates, NOW, changed_only=True), compact=True)
+
+
 # --- J: serving ------------------------------------------------------------------------------------------
 
 
@@ -492,6 +524,49 @@ def k1_stream_ingest(t: Tables) -> DataFrame:
     return stored.select("id", "email_message_id", "sha256", "filename", "status", *ts_text("received_at"))
 
 
+@query
+def k1_stream_files(t: Tables) -> DataFrame:
+    """Files of lines (a month each, some twice) arrive in several batches as bytes; each is classified, digested and stored once."""
+    folder, root = (f"{scratch_root(t.spark)}/{name}-{uuid.uuid4().hex}" for name in ("files", "k1-files"))
+    copies = t.file_lines.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    ordered = copies.repartition("month", "copy").sortWithinPartitions("month", "copy", "no")
+    ordered.select("month", "copy", F.col("line").alias("value")).write.partitionBy("month", "copy").text(folder, compression="none")
+    month = F.regexp_extract("path", "month=([^/]+)", 1)
+    stored = stream.stream_files(t.spark, folder, root, NOW, month, "*.txt", files_per_batch=24, compact_every=2)
+    return stored.select("id", "email_message_id", "sha256", "content_type", "status", *as_long("attempt_count"))
+
+
+def _as_stream(t: Tables, rows: DataFrame, by: list[str], files: int = 5) -> DataFrame:
+    """Rows stored in a few files, dealt by ``by``, of which each micro-batch reads one."""
+    folder = f"{scratch_root(t.spark)}/arrive-{uuid.uuid4().hex}"
+    rows = rows.withColumn("event_time", F.lit(NOW).cast("timestamp"))
+    rows.repartition(files, *by).write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query
+def k2_stream_documents(t: Tables) -> DataFrame:
+    """Texts, words, cells, answers and entities arrive in different batches; equals the batch job on every level."""
+    keys = {
+        "words": ["page", "word_idx", "text", "top"], "table_rows": ["page", "table_idx", "row_idx", "cells"],
+        "model_responses": ["provider_rank", "raw_response"], "entities": ["entity_idx", "type", "content"],
+    }
+    given = {name: getattr(t, name).select("doc_id", *columns) for name, columns in keys.items()}
+    counts = None
+    for name in keys:
+        one = given[name].distinct().select("doc_id")
+        counts = one if counts is None else counts.union(one)
+    parts = counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
+    docs = t.docs.join(parts, "doc_id", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    root = f"{scratch_root(t.spark)}/k2-documents-{uuid.uuid4().hex}"
+    done = stream_documents(
+        _as_stream(t, docs, ["doc_id"]), root,
+        *[_as_stream(t, given[name], ["doc_id", keys[name][0], keys[name][1]]) for name in ("words", "table_rows", "model_responses", "entities")],
+        options=FULL,
+    )
+    return flat_wrapped(done, "is_valid", "validation_error", "confidence_status")
+
+
 @query
 def k2_stream_extract(t: Tables) -> DataFrame:
     """Rules over the stream of given documents; equals the batch job."""

@@ -19,6 +19,23 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def file_stream(
+    spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int = 1000, archive: str | None = None
+) -> DataFrame:
+    """The same rows as ``scan_files`` as files arrive, ``files_per_batch`` at a time.
+
+    With ``archive`` the source moves files there once a later batch has begun, so a listing stays short.
+    """
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(path)
+
+
 def classify_files(files: DataFrame) -> DataFrame:
     """Adds ``kind`` (image, pdf or null) and ``supported``.
 
@@ -35,6 +52,14 @@ def classify_files(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", kind).withColumn("supported", F.col("kind").isNotNull())
 
 
+def mime_type(files: DataFrame) -> DataFrame:
+    """Adds ``content_type`` of classified files by extension and first bytes; null where neither tells."""
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    same = F.when(extension == "jpg", "jpeg").when(extension == "tif", "tiff").otherwise(extension)
+    image = F.when(F.col("kind") == "image", F.concat(F.lit("image/"), same))
+    return files.withColumn("content_type", F.when(F.col("kind") == "pdf", "application/pdf").otherwise(image))
+
+
 def content_digest(files: DataFrame) -> DataFrame:
     """Adds ``sha256``, the first four bytes as ``head`` and the byte count as ``length``.
 

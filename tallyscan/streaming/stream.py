@@ -1,24 +1,28 @@
 """Streams to tables.
 
-Every sink is a Parquet folder with one sub-folder per micro-batch, written in
-overwrite mode: a batch that runs again after a failure replaces itself. Runs use
-``availableNow``; the same code with another trigger keeps running.
+Tables that change are kept by ``state.StateTable``: a micro-batch looks up the rows its keys name and adds
+the rows it changes, under its number, so a batch that runs again after a failure changes nothing. No
+aggregate state is held by the streaming queries, so they can run for ever. Runs use ``availableNow``;
+the same code with another trigger keeps running.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyscan.operators import lifecycle
 from tallyscan.operators.lifecycle import Moment
 from tallyscan.operators.reconcile import validate_accounting
 from tallyscan.operators.rules import rule_fields
 from tallyscan.sources import assign_storage_key, content_digest, dedupe_ingest, initial_state
+from tallyscan.sources.files import classify_files, file_stream, mime_type
 from tallyscan.sources.invoices import KEY, uuid_text
+from tallyscan.streaming.state import BUCKETS, StateTable
+
+COMPACT_EVERY = 10
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,45 +31,64 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def _run(source: DataFrame, root: str, mode: str, each_batch: Callable[[DataFrame, int], None]) -> None:
-    writer = source.writeStream.outputMode(mode).foreachBatch(each_batch)
-    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-
-
-def _batch_path(root: str, batch_id: int) -> str:
-    return f"{root}/table/batch={batch_id}"
+def batch_folder(root: str, name: str, batch_id: int) -> str:
+    return f"{root}/{name}/batch={batch_id}"
 
 
-def _stored(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    """All batches written so far. An empty batch -1 is written first, so that there is always a table."""
-    with_batch = StructType([*schema.fields, StructField("batch", IntegerType())])
-    return spark.read.schema(with_batch).parquet(f"{root}/table")
+def run_batches(source: DataFrame, root: str, each_batch: Callable[[DataFrame, int], None]) -> None:
+    writer = source.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def _begin(spark: SparkSession, root: str, schema: StructType) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(_batch_path(root, -1))
+def _upkeep(table: StateTable, batch_id: int, every: int) -> None:
+    if every and batch_id and batch_id % every == 0:
+        table.compact(batch_id)
 
 
-def stream_ingest(attachments: DataFrame, root: str, now: Moment, watermark: str | None = None) -> DataFrame:
+def stream_ingest(
+    attachments: DataFrame, root: str, now: Moment, watermark: str | None = None,
+    buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
     """Stores each (message, digest) once, whatever the number of batches it comes in.
 
-    With a ``watermark`` near copies are dropped by streaming state before they reach
-    a batch; keys older than that are caught by the anti join with the stored table.
+    The id of a row is a digest of that key, so a batch looks its ids up in the buckets they lie in: what is read follows
+    the batch, not all that has ever come. With a ``watermark`` near copies are dropped by streaming state before
+    they reach a batch.
     """
     spark = attachments.sparkSession
     digested = content_digest(attachments).drop("content")
     if watermark:
         digested = digested.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(KEY)
-    empty = initial_state(assign_storage_key(spark.createDataFrame([], digested.schema)), now).schema
+    schema = initial_state(assign_storage_key(spark.createDataFrame([], digested.schema)), now).schema
+    table = StateTable(spark, f"{root}/table", schema, "id", buckets)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        earlier = _stored(batch.sparkSession, root, empty).where(F.col("batch") < batch_id)
-        fresh = dedupe_ingest(batch, earlier)
-        initial_state(assign_storage_key(fresh), now).write.mode("overwrite").parquet(_batch_path(root, batch_id))
+        _upkeep(table, batch_id, compact_every)
+        keyed = assign_storage_key(dedupe_ingest(batch))
+        fresh = keyed.join(table.of(keyed, batch_id).select("id"), "id", "left_anti")
+        table.write(initial_state(fresh, now), batch_id)
 
-    _begin(spark, root, empty)
-    _run(digested, root, "append", store)
-    return _stored(spark, root, empty).drop("batch")
+    run_batches(digested, root, store)
+    return table.current()
+
+
+def stream_files(
+    spark: SparkSession, folder: str, root: str, now: Moment, message: Column, pattern: str = "*",
+    files_per_batch: int = 1000, archive: str | None = None, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY,
+) -> DataFrame:
+    """Files that arrive below ``folder``, as stored invoice rows.
+
+    ``message`` names the message a file came with, out of ``path``. A file whose message and bytes are known is not
+    stored again, in whatever batch it comes. With ``archive`` files that are done move there.
+    """
+    files = mime_type(classify_files(file_stream(spark, folder, pattern, files_per_batch, archive)))
+    none = F.lit(None).cast("string")
+    attachments = files.select(
+        message.alias("email_message_id"), none.alias("sender"), none.alias("subject"),
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "content_type", "content",
+        F.col("modificationTime").alias("received_at"),
+    )
+    return stream_ingest(attachments, root, now, buckets=buckets, compact_every=compact_every)
 
 
 def stream_extract(docs: DataFrame, root: str) -> DataFrame:
@@ -77,50 +100,49 @@ def stream_extract(docs: DataFrame, root: str) -> DataFrame:
     return spark.read.schema(fields.schema).parquet(f"{root}/table")
 
 
-def stream_latest_status(status_events: DataFrame, root: str) -> DataFrame:
-    """Latest state per document in update mode.
+def stream_latest_status(
+    status_events: DataFrame, root: str, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY
+) -> DataFrame:
+    """Latest state per document.
 
-    A batch writes the documents it changed; reading takes the newest of the
-    updates, so batches that are late or repeated change nothing.
+    A batch is brought down to one event a document and put beside the stored state of these documents;
+    only newer ones are written, so events that are late or repeated change nothing. The query itself
+    holds no state.
     """
-    spark = status_events.sparkSession
-    latest = lifecycle.latest_status(status_events)
+    schema = lifecycle.latest_status(status_events).schema
+    table = StateTable(status_events.sparkSession, f"{root}/table", schema, "doc_id", buckets)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(root, batch_id))
+        _upkeep(table, batch_id, compact_every)
+        newest = lifecycle.latest_status(batch)
+        known = table.of(newest, batch_id).select("doc_id", F.struct("event_ts", "seq").alias("_known"))
+        newer = newest.join(known, "doc_id", "left").where(F.col("_known").isNull() | (F.struct("event_ts", "seq") > F.col("_known")))
+        table.write(newer.drop("_known"), batch_id)
 
-    _begin(spark, root, latest.schema)
-    _run(latest, root, "update", store)
-    return lifecycle.latest_status(_stored(spark, root, latest.schema).drop("batch"))
+    run_batches(status_events, root, store)
+    return table.current()
 
 
-def stream_retry(invoices: DataFrame, text_results: DataFrame, root: str, now: Moment) -> DataFrame:
+def stream_retry(
+    invoices: DataFrame, text_results: DataFrame, root: str, now: Moment, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY
+) -> DataFrame:
     """Applies text results as they arrive to the rows that are due.
 
-    No timer is held: ``next_attempt_at`` is data. A batch reads the current state of
-    the ids it names and writes only those rows; current state is the newest version
-    of a row.
+    No timer is held: ``next_attempt_at`` is data. ``invoices`` are stored once; a batch reads the current state of
+    the ids it names and writes only those rows.
     """
-    spark = invoices.sparkSession
-    columns = invoices.columns
-
-    def current(until: int, ids: DataFrame | None = None) -> DataFrame:
-        changed = _stored(spark, root, invoices.schema).where(F.col("batch") < until)
-        base = invoices
-        if ids is not None:
-            changed, base = changed.join(ids, "id", "left_semi"), base.join(ids, "id", "left_semi")
-        newest = changed.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
-        return lifecycle.current_state(base, newest)
+    table = StateTable(invoices.sparkSession, f"{root}/table", invoices.schema, "id", buckets)
+    if table.versions().isEmpty():
+        table.write(invoices, -1)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        _upkeep(table, batch_id, compact_every)
         # one result per id: copies of a result are one attempt
         results = batch.groupBy("id").agg(F.max(F.struct("file_found", "supported", "text")).alias("r")).select("id", "r.*")
-        named = current(batch_id, results.select("id"))
-        lifecycle.apply_text(named, results, now).write.mode("overwrite").parquet(_batch_path(root, batch_id))
+        table.write(lifecycle.apply_text(table.of(results, batch_id), results, now), batch_id)
 
-    _begin(spark, root, invoices.schema)
-    _run(text_results, root, "append", store)
-    return current(2**31 - 1)
+    run_batches(text_results, root, store)
+    return table.current()
 
 
 # --- streams of the operators' inputs, made from the given tables ---------------------------
