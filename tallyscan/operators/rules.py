@@ -113,18 +113,21 @@ def currency_explicit(lower: str = "text_lower") -> Column:
 def currency_inferred(text: str = "text", lower: str = "text_lower") -> Column:
     """Dollar misread as 5 or S, or a code glued to the word "currency".
 
-    Meant for texts in which ``currency_explicit`` found nothing. The atomic group
-    pins the first keyword of a line, so a long line is read once, not once per
-    keyword. Of several overlapping tests only those are kept that can decide:
+    Meant for texts in which ``currency_explicit`` found nothing. Atomic groups
+    pin the first keyword or amount of a line, as what follows a later one follows the first, so a long line is read once.
+    An amount whose 5 ends a line is a case of its own. Of several overlapping tests only those are kept that can decide:
     the widest misread-5 form holds the narrower ones, and a text with an indicator
     of its own always has an amount.
     """
     five_amount = sql.java_regex(fv.MISREAD_FIVE_AMOUNT).removeprefix("(?d)")
     before = rf"^(?>.*?(?:total|amount|price|cost|due|fee)).*?{five_amount}"
-    after = rf"{five_amount}.*?(?:total|amount|due)"
+    amount_end = sql.java_regex(fv.MISREAD_FIVE_AMOUNT.removeprefix(r"\b5\s*")).removeprefix("(?d)")
+    five = five_amount.removesuffix(r"\s*" + amount_end)
+    after = rf"^(?>.*?{five}[^\S\n]*+{amount_end}).*?(?:total|amount|due)"
+    after_break = rf"{five}[^\S\n]*+\n\s*+{amount_end}.*?(?:total|amount|due)"
     near_word = (
         f"({has(lower, 'total', 'amount', 'price', 'cost', 'due', 'fee')} and {matches(lower, before, 'm')}"
-        f" or {has(lower, 'total', 'amount', 'due')} and {matches(lower, after)})"
+        f" or {has(lower, 'total', 'amount', 'due')} and ({matches(lower, after, 'm')} or {matches(lower, after_break)}))"
     )
     misread = f"{has(lower, '5')} and {matches(lower, fv.MISREAD_FIVE_AMOUNT)} and {near_word}"
 
@@ -134,11 +137,11 @@ def currency_inferred(text: str = "text", lower: str = "text_lower") -> Column:
     labelled = f"upper({when(has(lower, 'currency'), coalesce(labels))})"
 
     plain = sql.plain_spaces(text)
-    five, letter, five_long = [matches(plain, p) for p in fv.DOLLAR_INDICATORS]
+    apart, letter, five_long = [matches(plain, p) for p in fv.DOLLAR_INDICATORS]
     indicator = (
-        f"({has(text, '$')} or {has(text, 'S')} and {letter} or {has(text, '5')} and ({five} or {five_long}))"
+        f"({has(text, '$')} or {has(text, 'S')} and {letter} or {has(text, '5')} and ({apart} or {five_long}))"
     )
-    priced = matches(lower, r"(?:price|cost|fee).*?[\d,]\.\d{2}")
+    priced = matches(lower, r"^(?>.*?(?:price|cost|fee)).*?[\d,]\.\d{2}", "m")
     in_invoice = f"({has(lower, *fv.INVOICE_KEYWORDS)} or {priced})"
     some_amount = matches(lower, r"[\d,]\.\d{2}")
     indicated = f"{some_amount} and {indicator} and {in_invoice}"

@@ -163,7 +163,7 @@ def b1_choose_page_text(t: Tables) -> DataFrame:
 
 @query
 def b2_choose_engine(t: Tables) -> DataFrame:
-    chosen = ta.choose_engine(ta.choose_page_text(t.page_text))
+    chosen = ta.choose_pages(t.page_text)
     return chosen.select("doc_id", *as_long("engine_rank", "page"), "text")
 
 
@@ -179,7 +179,7 @@ def b4_table_to_text(t: Tables) -> DataFrame:
 
 @query
 def b5_pages_to_document(t: Tables) -> DataFrame:
-    pages = ta.choose_engine(ta.choose_page_text(t.page_text))
+    pages = ta.choose_pages(t.page_text)
     return ta.pages_to_document(pages).select("doc_id", "text")
 
 

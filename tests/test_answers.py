@@ -112,6 +112,10 @@ def test_nothing_a_model_says_is_lost(spark):
     plain = {r.doc_id: r for r in merge.unwrap(done).collect()}
     assert str(plain[1].total) == "1879.32" and plain[1].as_text == {"invoice_date": "30 of June"}
     assert plain[2].total is None and plain[2].as_text["total"] == "n/a"
+    assert plain[1].extra["due_date"] == "2025-07-30" and '"days":30' in plain[1].extra["terms"] and plain[2].extra is None
+    again = {r.doc_id: r for r in merge.unwrap(merge.with_confidence(merge.unwrap(done))).collect()}
+    assert again[1].extra == plain[1].extra and again[1].total == plain[1].total
+    assert dict(extract_documents(docs).dtypes)["fields"] == dict(done.dtypes)["fields"]
     report = {(r.section, r.key): r for r in serving.corpus_report(done).collect()}
     assert str(report["all", "all"].total_amount) == "1884.32" and report["all", "all"].n_unparsed_totals == 1
 

@@ -1,5 +1,6 @@
 """Golden rows of the rules, reconciliation and validation; one batch per test."""
 
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscan.functions import clean_amount, clean_date, currency_code, title_case
+from tallyscan.operators import rules
 from tallyscan.operators.reconcile import field_exclusivity, reconcile_amounts, validate_accounting
 from tallyscan.operators.rules import extract_one, rule_fields
 
@@ -142,3 +144,43 @@ def test_wide_spaces_and_other_digits(spark):
     got = {r.doc_id: r for r in rule_fields(df).collect()}
     assert got[0].currency == "USD"
     assert str(got[1].total) == "12.34" and str(got[2].total) == "45.00"
+
+
+def test_currency_patterns_equal_the_plain_ones(spark):
+    """The patterns that read a line once find what the plain ones find, over lines and odd white space."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyscan import fixed_values as fv
+
+    rng = random.Random(2)
+    bits = ["5", "5 ", "1.00", "12,3.45", "total", "due", "amount", "price", "fee", "x", " ", "\n", "\n\n", "\t", "S1.00", "invoice", "5 2.50", "51.00"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text_lower string").withColumn("text", F.col("text_lower"))
+    near = r"(total|amount|price|cost|due|fee).*?" + fv.MISREAD_FIVE_AMOUNT + "|" + fv.MISREAD_FIVE_AMOUNT + r".*?(total|amount|due)"
+    letter = "|".join(fv.DOLLAR_INDICATORS)
+    known = "|".join(fv.INVOICE_KEYWORDS)
+
+    def plain(text):
+        if re.search(near, text):
+            return "USD"
+        some = re.search(r"[\d,]\.\d{2}", text) and ("$" in text or re.search(letter, text))
+        return "USD" if some and (re.search(known, text) or re.search(r"(price|cost|fee).*?[\d,]\.\d{2}", text)) else None
+
+    found = {r.doc_id: r.c for r in df.select("doc_id", rules.currency_inferred().alias("c")).collect()}
+    assert found == {i: plain(t) for i, t in enumerate(texts)} and len(set(found.values())) == 2
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    import time
+
+    for piece in ("5 1.00 ", "price ", "fee 5 ", "5\n"):
+        took = []
+        for n in (8_000, 64_000):
+            df = spark.createDataFrame([(piece * n,)], "text string").selectExpr("text", "text as text_lower")
+            df.select(rules.currency_inferred()).collect()
+            start = time.time()
+            df.select(rules.currency_inferred()).collect()
+            took.append(time.time() - start)
+        assert took[1] < 3
