@@ -438,6 +438,20 @@ def _file_lines(d) -> str:
       from (select {month} as month, o_orderkey as no, o_orderstatus from {d.table('orders')}) o"""
 
 
+def _arrived_pages(d) -> str:
+    """The one page of each document as two methods saw it; every eleventh is blank to both."""
+    return """
+      select doc_id, 0 as page, 1 as engine_rank, m as method_rank,
+             case when doc_id % 11 = 0 or (m = 1 and doc_id % 3 = 0) then ' ' when m = 1 then text else concat(' ', text, chr(10)) end as text
+      from docs cross join (select 1 as m union all select 2) methods"""
+
+
+def _arrived_segments(d) -> str:
+    """The lines of each document as read from an image; every thirteenth image is blank."""
+    return """
+      select doc_id, 1 as engine_rank, cast(ln as int) as seg_idx, case when doc_id % 13 = 0 then '  ' else line end as text from doc_lines"""
+
+
 TABLES = {
     "cents": _cents, "truth": _truth, "docs": _docs, "doc_lines": _doc_lines, "table_rows": _table_rows,
     "words": _words, "glyphs": _glyphs, "page_text": _page_text, "ocr_segments": _ocr_segments,
@@ -449,6 +463,7 @@ TABLES = {
     "misread_docs": _misread_docs, "padded_documents": _padded_documents, "corpus": _corpus,
     "amount_fields": _amount_fields, "manifest": _manifest, "stored_files": _stored_files,
     "part_files": _part_files, "file_lines": _file_lines,
+    "arrived_pages": _arrived_pages, "arrived_segments": _arrived_segments,
 }
 
 

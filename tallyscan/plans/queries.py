@@ -17,6 +17,7 @@ from tallyscan.operators import layout, lifecycle, merge, reconcile, responses,
 from tallyscan.operators import text_assembly as ta
 from tallyscan.plans.derived import NOW, Tables
 from tallyscan.plans.extract import Options, extract_documents, plain_fields
+from tallyscan.plans.intake import run_intake
 from tallyscan.session import scratch_root
 from tallyscan.sources import (
     assign_storage_key, check_sizes, classify_files, content_digest, dedupe_ingest, evolve_schema,
@@ -478,6 +479,15 @@ def j1_invoice_lookup(t: Tables) -> DataFrame:
     return serving.invoice_lookup(t.invoices, t.lookup_ids).select("asked_id", "lookup", "email_message_id", "status")
 
 
+@query
+def j1_state_lookup(t: Tables) -> DataFrame:
+    """The lookup on the state table: few ids read their row groups alone, many meet their buckets."""
+    table = StateTable(t.spark, f"{scratch_root(t.spark)}/lookup-{uuid.uuid4().hex}", t.invoices.schema)
+    table.write(t.invoices, 0)
+    found = serving.state_lookup(table, t.lookup_ids)
+    return found.select("asked_id", "lookup", "email_message_id", "status")
+
+
 @query
 def j2_invoice_out(t: Tables) -> DataFrame:
     out = serving.invoice_out(t.invoices)
@@ -623,3 +633,17 @@ def l2_stored_fields(t: Tables) -> DataFrame:
         "id", "result", "confidence_status", value("total.value").alias("total"), value("currency.value").alias("currency"),
         value("vendor_name.notes").alias("vendor_note"), value("tax.value.type").alias("tax_type"),
     )
+
+
+@query
+def l3_end_to_end(t: Tables) -> DataFrame:
+    """Bytes of files to client answers: ingest, kinds, texts of pages and images, every level, stored state."""
+    done = run_intake(
+        t.attachments, t.arrived_pages, f"{scratch_root(t.spark)}/l3-{uuid.uuid4().hex}", NOW, t.arrived_segments,
+        t.words, t.table_rows, t.model_responses, t.entities, FULL, F.substring("email_message_id", 5, 20).cast("bigint"),
+    )
+    value = lambda path: F.get_json_object("extracted_fields", f"$.{path}")
+    return done.select(
+        "id", "result", "error", "confidence_status", value("invoice_number.value").alias("invoice_number"), value("total.value").alias("total"),
+        value("currency.value").alias("currency"), value("vendor_name.notes").alias("vendor_note"), value("tax.value.type").alias("tax_type"),
+    )

@@ -17,7 +17,7 @@ from tallyscan.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 SLOW = {"g1_escalation_queue", "g2_build_requests", "g7_overlay_semantic", "h1_merge_levels", "h2_with_confidence",
-        "h3_unwrap", "h4_confidence_status", "j4_display_fields", "j5_scorecard"}
+        "h3_unwrap", "h4_confidence_status", "j4_display_fields", "j5_scorecard", "i3_state_failures", "i5_state_extraction"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not here")
 
 
