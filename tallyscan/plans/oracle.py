@@ -599,6 +599,7 @@ def _build() -> dict[str, str]:
                         ("i5_state_extraction", "i5_apply_extraction"), ("i6_state_status", "i6_set_status")):
         q_[state] = q_[same]
     q_["j1_state_lookup"] = q_["j1_invoice_lookup"]
+    q_["j6_incremental_report"] = q_["j6_corpus_report"]
     q_["k2_stream_documents"] = q_["h5_extract_documents"]
     q_["k1_stream_files"] = f"""
         select {_uuid(DuckDialect(), "concat(month, '|', sha256)")} as id, month as email_message_id, sha256,

@@ -18,6 +18,7 @@ from tallyscan.operators import text_assembly as ta
 from tallyscan.plans.derived import NOW, Tables
 from tallyscan.plans.extract import Options, extract_documents, plain_fields
 from tallyscan.plans.intake import run_intake
+from tallyscan.plans.report import ReportTable
 from tallyscan.session import scratch_root
 from tallyscan.sources import (
     assign_storage_key, check_sizes, classify_files, content_digest, dedupe_ingest, evolve_schema,
@@ -523,6 +524,20 @@ def j6_corpus_report(t: Tables) -> DataFrame:
     return serving.corpus_report(done).withColumn("total_amount", F.col("total_amount").cast("string"))
 
 
+@query
+def j6_incremental_report(t: Tables) -> DataFrame:
+    """Four batches of changes: all documents by rules and layout, then in three parts with model answers. Equals the report on all of it."""
+    root = f"{scratch_root(t.spark)}/report-{uuid.uuid4().hex}"
+    extract_documents(t.docs, t.words, t.table_rows).write.parquet(f"{root}/plain")
+    extract_documents(t.docs, t.words, t.table_rows, t.model_responses, t.entities, FULL).write.parquet(f"{root}/full")
+    plain, full = (t.spark.read.parquet(f"{root}/{name}") for name in ("plain", "full"))
+    table = ReportTable(t.spark, f"{root}/report", plain)
+    table.update(plain, 0)
+    for part in range(3):
+        table.update(full.where(F.col("doc_id") % 3 == part), part + 1)
+    return table.report().withColumn("total_amount", F.col("total_amount").cast("string"))
+
+
 # --- K: streams ----------------------------------------------------------------------------------------------
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyscan.plans.extract import Options, extract_documents
-from tallyscan.streaming.state import BUCKETS, StateTable, exists, forget
-from tallyscan.streaming.stream import COMPACT_EVERY, batch_folder, run_batches
+from tallyscan.streaming.state import BUCKETS, StateTable, batch_folder, exists, forget
+from tallyscan.streaming.stream import COMPACT_EVERY, run_batches
 
 DOC = "doc"
 KINDS = {

@@ -31,10 +31,6 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def batch_folder(root: str, name: str, batch_id: int) -> str:
-    return f"{root}/{name}/batch={batch_id}"
-
-
 def run_batches(source: DataFrame, root: str, each_batch: Callable[[DataFrame, int], None]) -> None:
     writer = source.writeStream.foreachBatch(each_batch).option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
