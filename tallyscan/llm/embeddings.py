@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscan.llm.common import BLOCK, blocks, by_group, components, roots, stored, table
+from tallyscan.llm.common import BLOCK, by_group, components, roots, stored, table
 
 COSINE = 0.95
-FILTERS = 36.0
+FILTERS = 96.0
 LOAD = 64
+HEAVY_KEYS = 1 << 18
 BLOCKS = 3
 SEED = 5
 
@@ -102,7 +103,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _filters(codes: dict[int, ProductCode]):
+def _keys(codes: dict[int, ProductCode]):
+    """(key, n): how many vectors of a batch exceed each direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes):
+                units = _matrix(batch.filter(pa.array(sizes == size)).column("vec"))
+                lists = [x for at in range(0, len(units), 1024) for x in codes[int(size)].decoder().decode(units[at : at + 1024])]
+                key, n = np.unique(np.concatenate(lists), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key * 65536 + int(size)), pa.array(n, pa.int64())], ["key", "n"])
+
+    return run
+
+
+def _dealt(keyed: DataFrame, heavy: DataFrame, size: int) -> DataFrame:
+    """``keyed`` with the blocks (see ``common.blocks``) of the few keys in ``heavy(key, n)``; all others are one block.
+
+    Vectors travel once, after this, as keys were counted without them.
+    """
+    n = heavy.count()
+    if not n:
+        return keyed.select("*", *[F.lit(v).alias(c) for c, v in (("_b", 0), ("_of", 1), ("_i", 0), ("_j", 0))])
+    few = heavy.select("key", F.ceil(F.col("n") / size).cast("int").alias("_of"))
+    rows = keyed.join(F.broadcast(few) if n <= HEAVY_KEYS else few, "key", "left").withColumn("_of", F.coalesce("_of", F.lit(1)))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("u"), F.col("_of")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_of") - 1), lambda o: (o != F.col("_b")) | (F.col("_of") == 1))
+    rows = rows.withColumn("_o", F.explode(others))
+    return rows.select(*keyed.columns, "_b", "_of", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+
+def _filters(codes: dict[int, ProductCode], number: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
@@ -114,7 +146,7 @@ def _filters(codes: dict[int, ProductCode]):
                     times = [len(x) for x in lists]
                     took = some.take(pa.array(np.repeat(np.arange(len(lists)), times)))
                     ends = pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32())
-                    every = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists)))
+                    every = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists), number))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate(lists) * 65536 + int(size)), took.column("u"), took.column("copies"),
@@ -196,7 +228,9 @@ def link_embeddings(
     least id reachable is the component; kept marks its row. A null id takes part but names no
     component, unless no row of it has an id. Rows that repeat an id are rows of their own.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    # floats stay floats on their way; cosines are worked out in double precision
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     name = F.concat(F.hex(F.xxhash64("vec")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "vec")))
@@ -209,8 +243,12 @@ def link_embeddings(
     # one row for each length of vector there is
     counts = {r.size: r.n for r in distinct.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     codes = {size: ProductCode.sized(size, n, filters, load) for size, n in counts.items()}
-    keyed = distinct.mapInArrow(_filters(codes), "key bigint, u string, copies bigint, vec array<double>, filters array<bigint>")
-    dealt = blocks(keyed, "key", F.xxhash64("u"), BLOCK)
+    small = all(code.words**code.parts < 2**31 for code in codes.values())
+    number, named = (pa.int32(), "int") if small else (pa.int64(), "bigint")
+    keyed = distinct.mapInArrow(_filters(codes, number), f"key bigint, u string, copies bigint, vec {kind}, filters array<{named}>")
+    counted = distinct.select("size", "vec").mapInArrow(_keys(codes), "key bigint, n bigint")
+    heavy = stored(counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK), "embeddings-heavy")
+    dealt = _dealt(keyed, heavy, BLOCK)
     found = stored(by_group(dealt, ["key", "_i", "_j"], _verify(cosine), "u string, root string, links bigint"), "embeddings-links")
     links = found.groupBy("u").agg(F.sum("links").alias("others"))
     component = components(found.select(F.col("u").alias("a"), F.col("root").alias("b")), name="embeddings-components")

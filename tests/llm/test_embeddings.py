@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tallyscan.llm.common import roots
 from tallyscan.llm.embeddings import ProductCode, link_embeddings, op5_embeddings
@@ -39,6 +40,24 @@ def test_given_table_against_brute_force(spark):
     assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in wanted.values())
 
 
+@pytest.mark.parametrize("dimensions", [64, 256])
+def test_recall_near_the_threshold(spark, dimensions):
+    """1,000 pairs at each of three cosines among single vectors: at least 0.93 of each kind are linked."""
+    rng = np.random.default_rng(dimensions)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows, least = [], []
+    for cosine in (0.951, 0.96, 0.99):
+        a = unit(rng.standard_normal((1000, dimensions)))
+        side = rng.standard_normal((1000, dimensions))
+        side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+        rows += [x for pair in zip(a, cosine * a + np.sqrt(1 - cosine**2) * side) for x in pair]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r.component_id for r in link_embeddings(df).collect()}
+    for kind in range(3):
+        found = sum(got[i] == got[i + 1] for i in range(2000 * kind, 2000 * (kind + 1), 2))
+        assert found >= 930, (dimensions, kind, found)
+
+
 def test_hot_group_in_blocks(spark, monkeypatch):
     """Many near copies of one vector: every link is counted once though groups are split and filters shared."""
     from tallyscan.llm import embeddings
