@@ -150,9 +150,11 @@ def _amount_or_text(value: Column, negative: bool = False) -> Column:
     return F.when(~number, value).when(minus, F.concat(F.lit("-"), canonical)).otherwise(canonical)
 
 
-def parse_responses(repaired: DataFrame) -> DataFrame:
+def parse_responses(repaired: DataFrame, unusable: bool = False) -> DataFrame:
     """(doc_id, provider_rank, is_empty, answer columns as text), one row per parseable answer.
 
+    With ``unusable`` all others come too, without values and with a null ``is_empty``.
+
     The primary model says "date" for the invoice date, gives tax as a bare amount
     (taken as sales tax) and discounts of either sign. The text must be exactly one
     JSON object. An answer that names none of the known fields counts as empty. What
@@ -166,7 +168,12 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
     parsed = computed(
         repaired, ["doc_id", "provider_rank", "repaired"],
         whole.alias("_answer"), F.json_object_keys("repaired").alias("_keys"),
-    ).where(F.col("_answer").isNotNull() & F.col("_keys").isNotNull())
+    )
+    usable = F.col("_answer").isNotNull() & F.col("_keys").isNotNull()
+    if unusable:
+        parsed = parsed.withColumns({c: F.when(usable, F.col(c)) for c in ("_answer", "repaired")})
+    else:
+        parsed = parsed.where(usable)
     a = lambda k: F.col("_answer")[k]
     primary = F.col("provider_rank") == PRIMARY_RANK
     tax = a("tax")
@@ -177,7 +184,7 @@ def parse_responses(repaired: DataFrame) -> DataFrame:
     known = F.when(primary, F.array(*[F.lit(k) for k in [*[f for f in fv.FIELDS if f != "invoice_date"], "date"]]))
     return parsed.select(
         "doc_id", "provider_rank",
-        F.when(primary, ~F.arrays_overlap(F.col("_keys"), known)).otherwise(F.size("_keys") == 0).alias("is_empty"),
+        F.when(usable, F.when(primary, ~F.arrays_overlap(F.col("_keys"), known)).otherwise(F.size("_keys") == 0)).alias("is_empty"),
         a("invoice_number").alias("invoice_number"),
         F.when(primary, a("date")).otherwise(a("invoice_date")).alias("invoice_date"),
         a("vendor_name").alias("vendor_name"),
@@ -211,24 +218,17 @@ def entities_to_fields(entities: DataFrame) -> DataFrame:
     return full.select("doc_id", F.lit(ENTITY_RANK).alias("provider_rank"), F.lit(False).alias("is_empty"), *ANSWER_COLUMNS, "extra")
 
 
-def choose_provider(model_responses: DataFrame, parsed: DataFrame, entities: DataFrame | None = None) -> DataFrame:
-    """One answer per document.
+def choose_provider(parsed: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """One answer per document, out of ``parse_responses(..., unusable=True)``.
 
     The primary model counts when its answer is not empty. Otherwise the next
-    provider that was asked decides, even if its answer cannot be used; a row in
-    ``model_responses`` (or an entity) means it was asked.
+    provider that was asked decides, even if its answer cannot be used; a row
+    (or an entity) means it was asked. The answers are read once.
     """
-    asked = model_responses.select("doc_id", "provider_rank")
-    answers = parsed
-    if entities is not None:
-        found = entities_to_fields(entities)
-        asked = asked.unionByName(found.select("doc_id", "provider_rank"))
-        answers = answers.unionByName(found)
-    usable = answers.where((F.col("provider_rank") != PRIMARY_RANK) | ~F.col("is_empty"))
-    none = "struct<" + ",".join(f"{c}:string" for c in ANSWER_COLUMNS) + ",extra:map<string,string>>"
-    candidate = asked.where(F.col("provider_rank") != PRIMARY_RANK).select(
-        "doc_id", "provider_rank", F.lit(None).cast(none).alias("answer")
-    ).unionByName(usable.select("doc_id", "provider_rank", F.struct(*ANSWER_COLUMNS, "extra").alias("answer")))
+    answers = parsed if entities is None else parsed.unionByName(entities_to_fields(entities))
+    candidate = answers.where((F.col("provider_rank") != PRIMARY_RANK) | ~F.col("is_empty")).select(
+        "doc_id", "provider_rank", F.when(F.col("is_empty").isNotNull(), F.struct(*ANSWER_COLUMNS, "extra")).alias("answer")
+    )
     # an answer comes before the bare "asked" row of the same provider, the least by its text before others
     ranked = candidate.groupBy("doc_id").agg(
         F.min_by(

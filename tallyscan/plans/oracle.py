@@ -475,6 +475,7 @@ def _build() -> dict[str, str]:
 
     q_ = {
         "a1_scan_files": "select sum(octet_length(encode(concat_ws(',', email_message_id, filename))) + 1)::bigint as bytes, true as whole from attachments",
+        "a1_scan_each_file": "select month, octet_length(encode(body))::bigint as length, sha256(body) as sha256 from (select month, string_agg(line, chr(10) order by no) || chr(10) as body from file_lines group by month) f",
         "a2_classify_files": f"select email_message_id, filename, {_TS['received_at']}, {kind} as kind, {kind} is not null as supported from digested",
         "a3_content_digest": f"select email_message_id, {_TS['received_at']}, sha256, length::bigint as length from digested",
         "a4_dedupe_ingest": f"select email_message_id, sha256, filename, {_TS['received_at']}, sender from ingested where email_message_id not like '%7'",

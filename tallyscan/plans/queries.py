@@ -90,6 +90,16 @@ def a1_scan_files(t: Tables) -> DataFrame:
     return files.select(F.sum("length").alias("bytes"), (F.sum("length") == F.sum(F.octet_length("content"))).alias("whole"))
 
 
+@query
+def a1_scan_each_file(t: Tables) -> DataFrame:
+    """One row for each file of lines: its length and digest, as read back in bytes."""
+    folder = f"{scratch_root(t.spark)}/each-{uuid.uuid4().hex}"
+    ordered = t.file_lines.repartition("month").sortWithinPartitions("month", "no").select("month", F.col("line").alias("value"))
+    ordered.write.partitionBy("month").text(folder, compression="none")
+    files = scan_files(t.spark, folder, "*.txt")
+    return files.select(F.regexp_extract("path", "month=([^/]+)", 1).alias("month"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 @query
 def a2_classify_files(t: Tables) -> DataFrame:
     keyed = assign_storage_key(content_digest(t.attachments)).withColumn("path", F.col("storage_path"))
@@ -336,8 +346,8 @@ def g3_repair_responses(t: Tables) -> DataFrame:
     return responses.repair_responses(t.model_responses).select("doc_id", *as_long("provider_rank"), "repaired")
 
 
-def _parsed(t: Tables) -> DataFrame:
-    return responses.parse_responses(responses.repair_responses(t.model_responses))
+def _parsed(t: Tables, unusable: bool = False) -> DataFrame:
+    return responses.parse_responses(responses.repair_responses(t.model_responses), unusable)
 
 
 @query
@@ -352,14 +362,14 @@ def g5_entities_to_fields(t: Tables) -> DataFrame:
 
 @query
 def g6_choose_provider(t: Tables) -> DataFrame:
-    chosen = responses.choose_provider(t.model_responses, _parsed(t), t.entities)
+    chosen = responses.choose_provider(_parsed(t, unusable=True), t.entities)
     return chosen.select("doc_id", *as_long("provider_rank"), *responses.ANSWER_COLUMNS)
 
 
 @query
 def g7_overlay_semantic(t: Tables) -> DataFrame:
     queue = responses.escalation_queue(plain_fields(t.docs))
-    chosen = responses.choose_provider(t.model_responses, _parsed(t), t.entities)
+    chosen = responses.choose_provider(_parsed(t, unusable=True), t.entities)
     return flat_wrapped(responses.overlay_semantic(queue, chosen), "corrected")
 
 

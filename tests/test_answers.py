@@ -66,8 +66,8 @@ def test_provider_order(spark):
          (3, 3, '{"total": "3"}'), (4, 1, "bad")], RAW)
     ent = spark.createDataFrame([(4, 0, "total_amount", "8"), (4, 1, "invoice_total", "9"), (4, 2, "other", "1"), (1, 0, "currency", "X")],
                                 "doc_id long, entity_idx int, type string, content string")
-    parsed = responses.parse_responses(responses.repair_responses(raw))
-    got = {r.doc_id: (r.provider_rank, r.total) for r in responses.choose_provider(raw, parsed, ent).collect()}
+    parsed = responses.parse_responses(responses.repair_responses(raw), unusable=True)
+    got = {r.doc_id: (r.provider_rank, r.total) for r in responses.choose_provider(parsed, ent).collect()}
     assert got == {2: (1, None), 3: (3, "3"), 4: (4, "9")}  # 1: the second provider's empty answer is final
 
 
