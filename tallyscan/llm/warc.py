@@ -37,6 +37,7 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 ARCHIVE_BYTES = 1 << 30
+READ_BYTES = 16 << 20
 BLOCK_LINES = 1000
 GZIP_LEVEL = 4
 CAPTURE = "key binary, page bigint, file string, offset bigint, length bigint"
@@ -271,7 +272,10 @@ def read_captures(captures: DataFrame) -> DataFrame:
 
     schema = "page bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     names = StructType.fromDDL(schema).fieldNames()
-    ordered = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # rows are short but name long stretches: readers are dealt by the bytes they read, which no adaptive step sees
+    readers = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    ordered = captures.select("file", "offset", "length").repartition(readers, "file", F.floor(F.col("offset") / READ_BYTES))
+    ordered = ordered.sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, schema)
 
 
