@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyscan.functions.sqltext import LONG_TAIL, MONEY, NO_NUMBER, NOISE, OUT_OF_RANGE
+from tallyscan.functions.sqltext import AMOUNT_STEPS, MONEY
 
 __all__ = ["MONEY", "clean_amount"]
 
@@ -17,6 +17,6 @@ def clean_amount(col: Column) -> Column:
     more than 26 integer digits. Each step reads its input once, so a costly
     ``col`` (a pattern over a whole text) is never evaluated twice.
     """
-    number = F.regexp_replace(F.regexp_replace(col, NOISE, ""), NO_NUMBER, OUT_OF_RANGE)
-    digits = F.regexp_replace(number, LONG_TAIL, "$11")
-    return F.bround(digits.try_cast("decimal(38,10)"), 2).try_cast(MONEY)
+    for pattern, by in AMOUNT_STEPS:
+        col = F.regexp_replace(col, pattern, by)
+    return F.bround(col.try_cast("decimal(38,10)"), 2).try_cast(MONEY)

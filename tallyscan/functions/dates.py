@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyscan.fixed_values import DATE_YEAR_FIRST, DATE_YEAR_LAST
+from tallyscan.functions.sqltext import YEAR_LAST_STEPS
 
 
 def clean_date(col: Column) -> Column:
@@ -15,6 +16,6 @@ def clean_date(col: Column) -> Column:
     """
     year_first = F.regexp_replace(F.regexp_extract(col, DATE_YEAR_FIRST, 0), "/", "-")
     year_last = F.regexp_extract(col, DATE_YEAR_LAST, 0)
-    day_month = F.regexp_replace(year_last, r"^(1[3-9]|[2-9]\d)[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1")
-    month_day = F.regexp_replace(day_month, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$1-$2")
-    return F.coalesce(*[F.regexp_replace(d, "^0000", "").try_cast("date") for d in (year_first, month_day)])
+    for pattern, by in YEAR_LAST_STEPS:
+        year_last = F.regexp_replace(year_last, pattern, by)
+    return F.coalesce(*[F.regexp_replace(d, "^0000", "").try_cast("date") for d in (year_first, year_last)])

@@ -76,10 +76,18 @@ def when(condition: str, value: str) -> str:
     return f"case when {condition} then {value} end"
 
 
+# What is replaced, in turn, before a cast: the columns of ``amounts`` and ``dates`` take the same steps.
+AMOUNT_STEPS = [(NOISE, ""), (NO_NUMBER, OUT_OF_RANGE), (LONG_TAIL, "$11")]
+YEAR_LAST_STEPS = [
+    (r"^(1[3-9]|[2-9]\d)[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1"), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$1-$2"),
+]
+
+
 def amount(value: str) -> str:
     """See ``amounts.clean_amount``. Every step reads its input once."""
-    digits = replace(replace(replace(value, NOISE, ""), NO_NUMBER, OUT_OF_RANGE), LONG_TAIL, "$11")
-    return f"try_cast(bround(try_cast({digits} as decimal(38,10)), 2) as {MONEY})"
+    for pattern, by in AMOUNT_STEPS:
+        value = replace(value, pattern, by)
+    return f"try_cast(bround(try_cast({value} as decimal(38,10)), 2) as {MONEY})"
 
 
 def first_match(value: str, pattern: str) -> str:
@@ -99,6 +107,6 @@ def day(value: str) -> str:
     """See ``dates.clean_date``."""
     year_first = replace(group(value, DATE_YEAR_FIRST, index=0), "/", "-")
     year_last = group(value, DATE_YEAR_LAST, index=0)
-    day_month = replace(year_last, r"^(1[3-9]|[2-9]\d)[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1")
-    month_day = replace(day_month, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$1-$2")
-    return coalesce([f"try_cast({replace(d, '^0000', '')} as date)" for d in (year_first, month_day)])
+    for pattern, by in YEAR_LAST_STEPS:
+        year_last = replace(year_last, pattern, by)
+    return coalesce([f"try_cast({replace(d, '^0000', '')} as date)" for d in (year_first, year_last)])

@@ -2,7 +2,7 @@
 
 Every transition is a table-to-table job: the rows concerned come in as a second
 table, and the result is the whole table in its next state, or with ``changed_only``
-just the rows that change (no other row is shuffled then). Of several changes of one
+just the rows that change. On a ``streaming.state.StateTable`` no stored row is shuffled for it. Of several changes of one
 id the largest counts, by all its columns in turn.
 ``now`` is an argument, so a rerun gives the same rows.
 """
