@@ -158,7 +158,7 @@ def parse_responses(repaired: DataFrame, unusable: bool = False) -> DataFrame:
     The primary model says "date" for the invoice date, gives tax as a bare amount
     (taken as sales tax) and discounts of either sign. The text must be exactly one
     JSON object. An answer that names none of the known fields counts as empty. What
-    other providers than the primary one say beyond the known fields is ``extra``.
+    other providers than the primary one say beyond the known fields is ``extra``, values as they were sent.
     """
     keys = [*fv.FIELDS, "date", "vat"]
     schema = "array<struct<" + ",".join(f"{k}:string" for k in keys) + ">>"
@@ -179,8 +179,8 @@ def parse_responses(repaired: DataFrame, unusable: bool = False) -> DataFrame:
     tax = a("tax")
     tax_parts = F.from_json(F.when(tax.startswith("{"), tax), "amount string, type string")
     falsy_tax = (tax == "") | F.col("repaired").rlike(r'"tax"\s*:\s*(?:-?0+(?:\.0*)?|false)\s*[,}]')
-    every = F.from_json("repaired", "map<string,string>", strict)
-    other = F.map_filter(every, lambda k, v: ~k.isin(*fv.FIELDS, "vat") & v.isNotNull())
+    every = F.from_json("repaired", "map<string,variant>", strict)
+    other = F.map_filter(every, lambda k, v: ~k.isin(*fv.FIELDS, "vat") & v.isNotNull() & ~F.is_variant_null(v))
     known = F.when(primary, F.array(*[F.lit(k) for k in [*[f for f in fv.FIELDS if f != "invoice_date"], "date"]]))
     return parsed.select(
         "doc_id", "provider_rank",
@@ -214,7 +214,7 @@ def entities_to_fields(entities: DataFrame) -> DataFrame:
     wanted = {c: ("tax" if c == "tax_amount" else c) for c in ANSWER_COLUMNS if c not in ("discount", "tax_type")}
     found = named.groupBy("doc_id").agg(*[last(f).alias(c) for c, f in wanted.items()])
     null = F.lit(None).cast("string")
-    full = found.withColumns({"discount": null, "tax_type": null, "extra": F.lit(None).cast("map<string,string>")})
+    full = found.withColumns({"discount": null, "tax_type": null, "extra": F.lit(None).cast("map<string,variant>")})
     return full.select("doc_id", F.lit(ENTITY_RANK).alias("provider_rank"), F.lit(False).alias("is_empty"), *ANSWER_COLUMNS, "extra")
 
 

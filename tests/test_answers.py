@@ -1,5 +1,7 @@
 """Model answers, overlay, confidence, display."""
 
+from pyspark.sql import functions as F
+
 from tallyscan.operators import merge, responses, serving
 from tallyscan.plans.extract import Options, extract_documents, plain_fields
 
@@ -106,15 +108,15 @@ def test_nothing_a_model_says_is_lost(spark):
     done = extract_documents(docs, model_responses=answers, options=LLM)
     rows = {r.doc_id: r for r in done.collect()}
     extra = rows[1].fields.extra
-    assert extra["due_date"].value == "2025-07-30" and '"days":30' in extra["terms"].value and extra["terms"].confidence == 0.5
+    assert extra["due_date"].value.toPython() == "2025-07-30" and extra["terms"].value.toPython() == {"days": 30} and extra["terms"].confidence == 0.5
     assert rows[2].fields.tax.value.type == "vat"
     assert rows[3].fields.total.value == "5"  # the least of several answers of one provider
     plain = {r.doc_id: r for r in merge.unwrap(done).collect()}
     assert str(plain[1].total) == "1879.32" and plain[1].as_text == {"invoice_date": "30 of June"}
     assert plain[2].total is None and plain[2].as_text["total"] == "n/a"
-    assert plain[1].extra["due_date"] == "2025-07-30" and '"days":30' in plain[1].extra["terms"] and plain[2].extra is None
+    assert plain[1].extra["due_date"].toPython() == "2025-07-30" and plain[1].extra["terms"].toPython() == {"days": 30} and plain[2].extra is None
     again = {r.doc_id: r for r in merge.unwrap(merge.with_confidence(merge.unwrap(done))).collect()}
-    assert again[1].extra == plain[1].extra and again[1].total == plain[1].total
+    assert again[1].extra["terms"].toPython() == {"days": 30} and again[1].total == plain[1].total
     assert dict(extract_documents(docs).dtypes)["fields"] == dict(done.dtypes)["fields"]
     report = {(r.section, r.key): r for r in serving.corpus_report(done).collect()}
     assert str(report["all", "all"].total_amount) == "1884.32" and report["all", "all"].n_unparsed_totals == 1
@@ -125,3 +127,22 @@ def test_request_text(spark):
     docs = spark.createDataFrame([(1, "x" * 5000)], "doc_id long, text string")
     got = [responses.build_requests(queue, docs, n).first() for n in (4000, None)]
     assert [(len(r.text), r.text_cut) for r in got] == [(4000, True), (5000, False)]
+
+
+def test_unknown_values_survive_storage_as_they_were_sent(spark):
+    """Numbers, lists and nested values: answer -> fields -> JSON -> stored row -> fields -> plain columns."""
+    import json
+
+    from tallyscan.operators import lifecycle
+
+    sent = {"n": 30, "x": 2.5, "yes": True, "list": [1, "a", {"b": None}], "deep": {"k": {"z": [1.25]}}, "text": "t", "gone": None}
+    docs = spark.createDataFrame([(1, BAD, "pdf")], "doc_id long, text string, kind string")
+    answers = spark.createDataFrame([(1, 2, json.dumps({"total": "5", **sent}))], RAW)
+    done = extract_documents(docs, model_responses=answers, options=LLM)
+    row = spark.createDataFrame([("1",)], "id string").selectExpr(
+        "id", "'OCR_DONE' as status", "cast(null as string) as extracted_fields", "'ERROR' as confidence_status", "'' as last_error", "timestamp'1997-01-01' as updated_at")
+    stored = lifecycle.apply_extraction(row, merge.fields_to_json(done.withColumn("doc_id", F.col("doc_id").cast("string"))), "1997-06-01")
+    back = merge.fields_from_json(stored)
+    assert back.select(F.to_json("fields")).first()[0] == done.select(F.to_json("fields")).first()[0]
+    extra = merge.unwrap(back).select(F.to_json("extra").alias("e")).first().e
+    assert json.loads(extra) == {k: v for k, v in sent.items() if v is not None}
