@@ -125,7 +125,7 @@ def stream_retry(
     """Applies text results as they arrive to the rows that are due.
 
     No timer is held: ``next_attempt_at`` is data. ``invoices`` are stored once; a batch reads the current state of
-    the ids it names and writes only those rows.
+    the ids it names and writes only those that are due; a row that stays as it is gets no new version.
     """
     table = StateTable(invoices.sparkSession, f"{root}/table", invoices.schema, "id", buckets)
     if table.versions().isEmpty():
@@ -135,7 +135,7 @@ def stream_retry(
         _upkeep(table, batch_id, compact_every)
         # one result per id: copies of a result are one attempt
         results = batch.groupBy("id").agg(F.max(F.struct("file_found", "supported", "text")).alias("r")).select("id", "r.*")
-        table.write(lifecycle.apply_text(table.of(results, batch_id), results, now), batch_id)
+        table.write(lifecycle.apply_text(table.of(results, batch_id), results, now, changed_only=True), batch_id)
 
     run_batches(text_results, root, store)
     return table.current()
