@@ -1,14 +1,69 @@
 """What keeps large inputs within their limits: rows move once, costly steps run only where they can decide."""
 
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tallyscan.fixed_values import ANSWER_REPAIRS
+from tallyscan.functions import clean_amount
+from tallyscan.functions.sqltext import AMOUNT_STEPS, MONEY, PLAIN_AMOUNT, amount
+from tallyscan.operators import responses
+from tallyscan.operators.layout import MAY_BE_AMOUNT, lines_from_words
 from tallyscan.plans.derived import NOW, Tables
 from tallyscan.streaming import stream
 from tallyscan.streaming.state import StateTable
 
 SMALL = "/root/testdata/sf0.001"
+AMOUNTS = [
+    None, "", " ", "0", "00", "007.5", "1.", ".5", "12.345", "12.355", "-3.10", "-0.00", "+4.20", "1,234.50", "$9.99", "5 10.00", "1e5", "1E3", "9" * 26,
+    "9" * 27, "12.30\n", "\n1.00", "12.3 ", "١٢", "1.2.3", "--1", "NaN", "1.23456789012345", "EUR 5.00", "INV-12", "1996-01-02", "5e", "e5",
+]
+
+
+def test_amounts_as_by_all_steps(spark):
+    rng = random.Random(7)
+    texts = AMOUNTS + ["".join(rng.choice("0159.,-+eE $a\n") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "raw string")
+    steps = F.col("raw")
+    for pattern, by in AMOUNT_STEPS:
+        steps = F.regexp_replace(steps, pattern, by)
+    whole = F.bround(steps.try_cast("decimal(38,10)"), 2).try_cast(MONEY)
+    rows = df.select(
+        "raw", clean_amount(F.col("raw")).alias("a"), F.expr(amount("raw")).alias("b"), whole.alias("c"),
+        F.col("raw").rlike(MAY_BE_AMOUNT).alias("may"), F.col("raw").rlike(PLAIN_AMOUNT).alias("plain"),
+    ).collect()
+    assert [r for r in rows if not r.a == r.b == r.c] == []
+    assert [r for r in rows if r.c is not None and not r.may] == []
+    assert any(r.plain for r in rows)
+
+
+def test_repairs_are_tried_where_they_can_match(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(['"', '""', ":", ",", "}", "{", "'", "\n", "\\n", "\\", "a", " ", "\x01"]) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for pattern, repl in ANSWER_REPAIRS:
+        plain = F.regexp_replace(plain, pattern, repl)
+    rows = df.select("t", responses._common_slips(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert [r for r in rows if r.a != r.b] == []
+    assert [responses._mark(p) for p, _ in ANSWER_REPAIRS] == ['""'] * 6 + ["", "'", "\n", ""]
+
+
+def test_line_items_move_once(spark):
+    """The key deals them; a deal round-robin before that moved all of them twice."""
+    for name in ("docs", "words", "table_rows"):
+        plan = getattr(Tables(spark, SMALL), name)._jdf.queryExecution().toString()
+        assert "roundrobin" not in plan.lower() and "REPARTITION_BY_NUM" not in plan
+
+
+def test_words_are_ordered_without_a_lambda(spark):
+    rows = [(1, 0, 5000 - i, f"w{i % 7}", 3.0) for i in range(4999)] + [(1, 0, None, "last", 3.0), (1, 0, 1, "a", 3.0)]
+    lines = lines_from_words(spark.createDataFrame(rows, "doc_id long, page int, word_idx int, text string, top double"))
+    assert "lambdafunction(if" not in lines._jdf.queryExecution().optimizedPlan().toString().lower().replace(" ", "")
+    key = lambda r: (r[2] is not None and r[2] // 4096 or 0, r[2] or 0, r[3])
+    told = [r[3] for r in sorted((r for r in rows if r[2] is not None), key=key)]
+    assert [r.line for r in lines.collect()] == [" ".join(["last", *told])]  # a null chunk comes first
 
 
 def test_rows_that_are_not_due_get_no_version(spark, tmp_path: Path):
