@@ -1,6 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after another; a model sees the words and some text statistics,
+The categories are predicted one after another; a model sees the words, their stems (the first letters of longer
+words, as most languages inflect at the end and each form alone is rare) and some text statistics,
 and the log-odds of all earlier categories. In training these log-odds are out-of-fold predictions,
 so that a later model meets earlier ones as unsure as they will be on unseen documents.
 """
@@ -22,6 +23,7 @@ from tallyscan.llm.common import table
 
 WORD = re.compile(r"[^\W\d_]+")
 STATISTICS = 5
+STEMS = (4, 5)
 FEATURES = 300
 LEAST_DOCUMENTS = 4
 LEAST_SCORE = 4.0
@@ -45,9 +47,14 @@ def describe(text: str | None) -> tuple[set[str], np.ndarray] | None:
     ])
 
 
+def with_stems(words: set[str]) -> set[str]:
+    """The words and the stems of longer ones, marked by a star, which no word has."""
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+
+
 @dataclass
 class Linear:
-    """Logistic regression on word presence and standardised numbers."""
+    """Logistic regression on the presence of words and stems and on standardised numbers."""
 
     words: list[str]
     weights: np.ndarray
@@ -69,37 +76,48 @@ def _standard(numbers: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.nd
     return np.clip((numbers - mean) / scale, -3, 3)
 
 
-def _choose_words(docs: list[set[str]], y: np.ndarray, weight: np.ndarray, features: int) -> list[str]:
+def _numbered(docs: list[list[str]]) -> tuple[list[str], list[np.ndarray]]:
+    """All words and stems, and the place of each document's in that list."""
+    at: dict[str, int] = {}
+    rows = [np.array([at.setdefault(w, len(at)) for w in sorted(with_stems(set(words)))], np.int64) for words in docs]
+    return list(at), rows
+
+
+def _choose_words(docs: list[np.ndarray], names: list[str], y: np.ndarray, weight: np.ndarray, features: int) -> list[int]:
     """The words whose document frequency differs most between the classes, in standard errors."""
-    total = [weight[y == 0].sum(), weight[y == 1].sum()]
-    seen, hits = Counter(), (Counter(), Counter())
-    for words, label, w in zip(docs, y.tolist(), weight.tolist()):
-        seen.update(words)
-        for word in words:
-            hits[label][word] += w
-    scored = []
-    for word, n in seen.items():
-        if n >= LEAST_DOCUMENTS:
-            p, q = hits[1][word] / total[1], hits[0][word] / total[0]
-            error = np.sqrt((p * (1 - p) + 0.25 / total[1]) / total[1] + (q * (1 - q) + 0.25 / total[0]) / total[0])
-            if abs(p - q) >= LEAST_SCORE * error:
-                scored.append((-abs(p - q) / error, word))
-    return [word for _, word in sorted(scored)[:features]]
-
-
-def train(docs: list[set[str]], numbers: np.ndarray, y: np.ndarray, weight: np.ndarray, features: int = FEATURES) -> Linear:
-    """Ridge logistic regression by Newton steps; one class only gives that class."""
-    mean, scale = numbers.mean(axis=0), np.where(numbers.std(axis=0) > 1e-9, numbers.std(axis=0), 1.0)
-    if len(set(y.tolist())) < 2:
-        return Linear([], np.zeros(numbers.shape[1]), mean, scale, 8.0 if y.any() else -8.0)
-    words = _choose_words(docs, y, weight, features)
-    at = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(docs), len(words) + numbers.shape[1] + 1))
+    sizes, every = [len(d) for d in docs], np.concatenate(docs)
+    label, each = np.repeat(y, sizes), np.repeat(weight, sizes)
+    seen = np.bincount(every, minlength=len(names))
+    total = [weight[y == k].sum() for k in (0, 1)]
+    q, p = (np.bincount(every[label == k], each[label == k], len(names)) / total[k] for k in (0, 1))
+    error = np.sqrt((np.maximum(p * (1 - p), 0) + 0.25 / total[1]) / total[1] + (np.maximum(q * (1 - q), 0) + 0.25 / total[0]) / total[0])
+    able = np.flatnonzero((seen >= LEAST_DOCUMENTS) & (np.abs(p - q) >= LEAST_SCORE * error))
+    score = np.abs(p - q) / error
+    return sorted(able.tolist(), key=lambda i: (-score[i], names[i]))[:features]
+
+
+def _table(docs: list[np.ndarray], chosen: list[int], numbers: np.ndarray, mean: np.ndarray, scale: np.ndarray, size: int) -> np.ndarray:
+    """A row for each document: presence of the chosen words, standardised numbers, one."""
+    at = np.full(size, -1)
+    at[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(docs), len(chosen) + numbers.shape[1] + 1))
     for row, found in enumerate(docs):
-        for word in at.keys() & found:
-            x[row, at[word]] = 1
-    x[:, len(words) : -1] = _standard(numbers, mean, scale)
+        places = at[found]
+        x[row, places[places >= 0]] = 1
+    x[:, len(chosen) : -1] = _standard(numbers, mean, scale)
     x[:, -1] = 1
+    return x
+
+
+def train(
+    docs: list[np.ndarray], names: list[str], numbers: np.ndarray, y: np.ndarray, weight: np.ndarray, features: int = FEATURES
+) -> tuple[Linear, list[int]]:
+    """Ridge logistic regression by Newton steps, and the places of its words; one class only gives that class."""
+    mean, scale = numbers.mean(axis=0), np.where(numbers.std(axis=0) > 1e-9, numbers.std(axis=0), 1.0)
+    if len(set(y.tolist())) < 2:
+        return Linear([], np.zeros(numbers.shape[1]), mean, scale, 8.0 if y.any() else -8.0), []
+    chosen = _choose_words(docs, names, y, weight, features)
+    x = _table(docs, chosen, numbers, mean, scale, len(names))
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
     beta = np.zeros(x.shape[1])
@@ -111,7 +129,7 @@ def train(docs: list[set[str]], numbers: np.ndarray, y: np.ndarray, weight: np.n
         beta -= move
         if np.abs(move).max() < 1e-6:
             break
-    return Linear(words, beta[:-1], mean, scale, float(beta[-1]))
+    return Linear([names[i] for i in chosen], beta[:-1], mean, scale, float(beta[-1])), chosen
 
 
 @dataclass
@@ -124,7 +142,7 @@ class Chain:
         found = describe(text)
         if found is None:
             return [0.0] * len(self.models)
-        words, numbers = found
+        words, numbers = with_stems(found[0]), found[1]
         odds: list[float] = []
         for model in self.models:
             odds.append(model.log_odds(words, np.concatenate([numbers, np.clip(odds, -8, 8)])))
@@ -174,7 +192,7 @@ def fit_chain(
     if not len(sample):
         return Chain(names, [Linear([], np.zeros(STATISTICS + i), np.zeros(STATISTICS + i), np.ones(STATISTICS + i), -8.0) for i in range(len(names))])
     sample = sample.sort_values(["id", "words"], ignore_index=True)
-    words = [set(w.split(" ")) for w in sample["words"]]
+    vocabulary, words = _numbered([w.split(" ") for w in sample["words"]])
     numbers = np.array(sample["numbers"].tolist(), float)
     y = np.array(sample["labels"].tolist(), int).reshape(len(sample), len(names))
     each = Counter(map(tuple, y.tolist()))
@@ -183,15 +201,16 @@ def fit_chain(
     fold = np.arange(len(sample)) % FOLDS
     models = []
     for i in range(len(names)):
-        models.append(train(words, numbers, y[:, i], weight, features))
+        models.append(train(words, vocabulary, numbers, y[:, i], weight, features)[0])
         unseen = np.zeros(len(sample))
         for f in range(FOLDS if i + 1 < len(names) else 0):
             learn = np.flatnonzero(fold != f)
             if not len(learn):
                 continue
-            part = train([words[j] for j in learn], numbers[learn], y[learn, i], weight[learn], features)
-            for j in np.flatnonzero(fold == f):
-                unseen[j] = part.log_odds(words[j], numbers[j])
+            part, chosen = train([words[j] for j in learn], vocabulary, numbers[learn], y[learn, i], weight[learn], features)
+            rest = np.flatnonzero(fold == f)
+            x = _table([words[j] for j in rest], chosen, numbers[rest], part.mean, part.scale, len(vocabulary))
+            unseen[rest] = x @ np.append(part.weights, part.bias)
         numbers = np.column_stack([numbers, np.clip(unseen, -8, 8)])
     return Chain(names, models)
 

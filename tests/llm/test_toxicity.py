@@ -60,3 +60,26 @@ def test_one_class_and_empty_tables(spark):
     chain = fit_chain(none, none, ["rude", "threat"])
     assert classify(none, chain).collect() == []
     assert [r.p_rude < 0.5 for r in classify(given.limit(1), chain).collect()] == [True]
+
+
+def test_inflected_words(spark):
+    """A stem that toxic texts inflect in a thousand ways is learned, though most of its forms are not among the learned rows."""
+    rng = random.Random(5)
+    syllables = ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+
+    def some(first):
+        out = []
+        for i in range(first, first + 400):
+            text, rude = [word(rng.randint(2, 4)) for _ in range(40)], rng.random() < 0.2
+            if rude:
+                text[rng.randrange(40)] = "zork" + word(3)
+            out.append((i, " ".join(text), 1, int(rude)))
+        return out
+
+    given, test = some(0), some(1000)
+    columns = "doc_id long, text string, quality int, toxic int"
+    given = spark.createDataFrame(given, columns)
+    chain = fit_chain(given, given, ["quality", "toxic"])
+    found = {r.doc_id: r.p_toxic >= 0.5 for r in classify(spark.createDataFrame(test, columns), chain).collect()}
+    assert sum(found[i] == bool(toxic) for i, *_, toxic in test) >= 0.98 * len(test)
