@@ -76,3 +76,23 @@ def test_rows_that_are_not_due_get_no_version(spark, tmp_path: Path):
     asked = versions.where("_version >= 0")
     assert 0 < asked.count() <= due.count() < invoices.count()
     assert asked.join(due, "id", "left_anti").isEmpty()
+
+
+def test_incremental_report_runs_rules_and_layout_once(spark, monkeypatch):
+    """Both jobs of j6 take the stored result of rules and layout, and stored results change nothing."""
+    from tallyscan.plans import extract, queries
+
+    t, calls, real = Tables(spark, SMALL), [], extract.plain_fields
+
+    def counted(*given, **named):
+        calls.append(1)
+        return real(*given, **named)
+
+    for module in (extract, queries):
+        monkeypatch.setattr(module, "plain_fields", counted)
+    queries.QUERIES["j6_incremental_report"](spark, SMALL)
+    assert len(calls) == 1
+    given = (t.docs, t.words, t.table_rows, t.model_responses, t.entities, queries.FULL)
+    once, again = extract.extract_documents(*given), extract.extract_documents(*given, real(*given[:3]))
+    text = lambda df: sorted(tuple(map(str, r)) for r in df.select("doc_id", "validation_error", "confidence_status", F.to_json("fields")).collect())
+    assert text(once) == text(again)
