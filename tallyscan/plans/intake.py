@@ -46,11 +46,13 @@ def run_intake(
     texts = documents_from_parts(kinds, tries, ocr_segments)
     results = kinds.join(texts.select("doc_id", "text"), "doc_id", "left").select("id", F.lit(True).alias("file_found"), "supported", "text")
     mine = lambda before: table.of(kinds, before)
-    table.write(lifecycle.apply_text(mine(first + 1), results, now, changed_only=True), first + 1)
+    # changes are dealt to the buckets; stored rows, and what becomes of them, stay where they are
+    table.write(lifecycle.apply_text(mine(first + 1), table.dealt(results), now, changed_only=True), first + 1, aligned=True)
 
     waiting = lifecycle.due_for_extraction(mine(first + 2)).select("id", F.col("ocr_text").alias("text"))
     docs = waiting.join(kinds, "id").select("doc_id", "text", "kind")
     done = extract_documents(docs, words, table_rows, model_responses, entities, options)
     named = done.join(kinds.select("id", "doc_id"), "doc_id")
-    table.write(lifecycle.apply_extraction(mine(first + 2), fields_to_json(named, "id"), now, changed_only=True), first + 2)
+    stored = table.dealt(fields_to_json(named, "id"))
+    table.write(lifecycle.apply_extraction(mine(first + 2), stored, now, changed_only=True), first + 2, aligned=True)
     return client_result(mine(first + 3))
