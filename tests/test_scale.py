@@ -9,6 +9,7 @@ from tallyscan.fixed_values import ANSWER_REPAIRS
 from tallyscan.functions import clean_amount
 from tallyscan.functions.sqltext import AMOUNT_STEPS, MONEY, PLAIN_AMOUNT, amount
 from tallyscan.operators import responses
+from tallyscan.operators import text_assembly as ta
 from tallyscan.operators.layout import MAY_BE_AMOUNT, lines_from_words
 from tallyscan.plans.derived import NOW, Tables
 from tallyscan.streaming import stream
@@ -96,3 +97,64 @@ def test_incremental_report_runs_rules_and_layout_once(spark, monkeypatch):
     once, again = extract.extract_documents(*given), extract.extract_documents(*given, real(*given[:3]))
     text = lambda df: sorted(tuple(map(str, r)) for r in df.select("doc_id", "validation_error", "confidence_status", F.to_json("fields")).collect())
     assert text(once) == text(again)
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+
+
+def test_parts_that_lie_by_document_are_not_moved(spark):
+    """Words, cells, pages and lines of an image beside their document: no exchange up to the fields, or to the text."""
+    from tallyscan.operators import layout, text_assembly
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        part = lambda columns, kinds: spark.createDataFrame([(d, *columns(i)) for d in range(3) for i in range(40)], f"doc_id long, {kinds}").repartition("doc_id")
+        words = part(lambda i: (0, i, "Total" if i % 2 else "5.00", 7.0 * (i // 2)), "page int, word_idx int, text string, top double")
+        pages = part(lambda i: (i, 1, 1, f"page {i}"), "page int, engine_rank int, method_rank int, text string")
+        rows = part(lambda i: (0, 0, i, ["a", str(i)]), "page int, table_idx int, row_idx int, cells array<string>")
+        lines = part(lambda i: (1, i, f"line {i}"), "engine_rank int, seg_idx int, text string")
+        for done in (layout.fields_from_lines(words), text_assembly.page_tries(pages, rows).where("method_rank = 4"),
+                     text_assembly.pages_to_document(pages, deal=False), text_assembly.segments_to_document(lines, deal=False)):
+            assert len(exchanges(done)) == done._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text_assembly.page_tries(pages, rows).where("method_rank = 4").first().text == "\n".join(f"a | {i}" for i in range(40))
+
+
+def test_amounts_and_vendor_in_one_pass(spark):
+    """The same as of the two operators, also where one finds nothing, on lines with ties, blanks and null places."""
+    from tallyscan.operators import layout
+
+    rng, rows = random.Random(12), []
+    for doc in [*range(150), None]:
+        for i in range(rng.randint(1, 30)):
+            text = rng.choice(["Total", "total", "Sub", "subtotal", "VAT", "Tax", "due", "amount", "5.00", "9.50", "7", "Acme", "Trading Co", "INVOICE", "date", "", None, "x"])
+            rows.append((doc, rng.choice([0, 0, 1]), rng.choice([i, i, None]), text, rng.choice([None, 2.5, 7.5, 20.0 * rng.randint(0, 8)])))
+    words = spark.createDataFrame(rows, "doc_id long, page int, word_idx int, text string, top double")
+    first = layout.first_page(words)
+    lines = lines_from_words(first)
+    two = layout.amounts_from_lines(lines).join(layout.vendor_from_lines(lines), "doc_id", "full_outer").where("doc_id is not null")
+    one = layout.fields_from_lines(first)
+    told = lambda df: sorted(map(tuple, df.select("doc_id", "subtotal", "tax", "vat", "total", "vendor_name").where("doc_id is not null").collect()), key=str)
+    assert told(one) == told(two) and len(told(one)) > 100
+
+
+def test_line_items_of_entities_move_once(spark):
+    plan = Tables(spark, SMALL).entities._jdf.queryExecution().toString()
+    assert "roundrobin" not in plan.lower() and "REPARTITION_BY_NUM" not in plan
+
+
+def test_thin_rows_of_pages_come_out_of_the_exchange_of_texts(spark):
+    """So what lies below it, as tries that are put together, runs fewer times."""
+    pages = spark.createDataFrame([(1, 0, 1, 1, " "), (1, 0, 2, 1, "b"), (2, 1, 1, 2, "c"), (2, 1, 1, 1, "d"), (2, 2, 2, 1, "e"), (3, 0, 1, 1, None)],
+                                  "doc_id long, page int, engine_rank int, method_rank int, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = ta.choose_pages(pages)
+        rows = done.collect()
+        plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.engine_rank, r.page, r.text) for r in rows) == [(1, 2, 0, "b"), (2, 1, 1, "d")]
+    assert plan.count("ReusedExchange") >= 1 and plan.count("Scan ") <= 2  # without: three scans, none reused
